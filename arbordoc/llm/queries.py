@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..cluster import table
 from .lookalike import lookalike_pairs, unify_texts
 from .repetition import repetition, repetitive_documents
+from .scanned import paragraphs, scan_findings
 from .split import split_chunks, split_oversized
 
 
@@ -34,6 +35,16 @@ def p2_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unify_texts(nodes).select("node_id", "sdt_id", "unified_text", "unified_delta_map").distinct()
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of scanned pages that are furniture, end in a parted word, or have a misread word."""
+    return scan_findings(table(spark, folder, "page_info"))
+
+
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned trees as continuous paragraphs."""
+    return paragraphs(table(spark, folder, "page_info"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Posts of which at least a third repeats earlier content."""
     return repetitive_documents(table(spark, folder, "documents")).select("doc_id")
@@ -50,6 +61,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_unified": p2_unified,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p8_found": p8_found,
     "p8_share": p8_share,
 }
