@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
+from .boilerplate import main_body
 from .lookalike import lookalike_pairs, unify_texts
 from .repetition import repetition, repetitive_documents
 from .scanned import paragraphs, scan_findings
@@ -35,6 +36,18 @@ def p2_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unify_texts(nodes).select("node_id", "sdt_id", "unified_text", "unified_delta_map").distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of web pages that are not main body."""
+    return main_body(table(spark, folder, "blocks")).where("NOT main_body").select("sdt_id", "block_index")
+
+
+def p3_main_body(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every web page, block by block."""
+    blocks = table(spark, folder, "blocks")
+    keep = main_body(blocks).where("main_body").select("sdt_id", "block_index")
+    return blocks.select("sdt_id", "block_index", "block_type", "text").distinct().join(keep, ["sdt_id", "block_index"])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of scanned pages that are furniture, end in a parted word, or have a misread word."""
     return scan_findings(table(spark, folder, "page_info"))
@@ -61,6 +74,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_unified": p2_unified,
+    "p3_found": p3_found,
+    "p3_main_body": p3_main_body,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
     "p8_found": p8_found,
