@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..cluster import table
 from .boilerplate import main_body
 from .lookalike import lookalike_pairs, unify_texts
+from .mixing import mixture, share_report
+from .packing import fill_report, pack
 from .repetition import repetition, repetitive_documents
 from .scanned import paragraphs, scan_findings
 from .split import split_chunks, split_oversized
@@ -58,6 +60,28 @@ def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs(table(spark, folder, "page_info"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """All posts in containers of each capacity."""
+    return pack(table(spark, folder, "documents"), table(spark, folder, "capacities"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers are filled."""
+    capacities = table(spark, folder, "capacities")
+    return fill_report(pack(table(spark, folder, "documents"), capacities), capacities)
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of boards, in order."""
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    targets = table(spark, folder, "mix_targets")
+    return share_report(mixture(table(spark, folder, "documents"), targets), targets)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Posts of which at least a third repeats earlier content."""
     return repetitive_documents(table(spark, folder, "documents")).select("doc_id")
@@ -78,6 +102,10 @@ QUERIES = {
     "p3_main_body": p3_main_body,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_share": p8_share,
 }
