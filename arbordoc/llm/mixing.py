@@ -23,6 +23,8 @@ GOLDEN = 0.6180339887498949
 SLOT_TOKENS = 2_048
 #: Documents in a bucket of the shuffle, on average, and slots in a bucket of the schedule.
 BUCKET = 50_000
+#: Documents per source that are picked to fit what is lacking at the end of its quota.
+FILL_ROUNDS = 3
 #: Sources that may have a target.
 MOST_SOURCES = 10_000
 
@@ -105,8 +107,17 @@ def mixture(
         .withColumn("shuffled", F.xxhash64("doc_id", "use", F.lit(seed)))
         .withColumn("bucket", F.col("use") * F.lit(1 << 20) + F.pmod(F.col("shuffled"), F.greatest(F.floor(F.col("documents") / F.lit(bucket)), F.lit(1))))
     )
-    placed = running(uses, "source", "bucket", ["shuffled", "doc_id"], F.col("tokens"), "start")
-    placed = placed.where(F.col("start") + F.col("tokens") / 2 < F.col("quota")).withColumn("rank", F.floor(F.col("start") / F.lit(slot_tokens)))
+    placed = cut(running(uses, "source", "bucket", ["shuffled", "doc_id"], F.col("tokens"), "start").select("source", "quota", "doc_id", "use", "tokens", "start"))
+    taken = placed.where(F.col("start") + F.col("tokens") <= F.col("quota"))
+    for _ in range(FILL_ROUNDS):
+        # what a source still lacks is filled by the unused document that comes nearest to it
+        used = taken.groupBy("source").agg(F.sum("tokens").alias("used"))
+        lack = sources.join(used, "source", "left").select("source", F.coalesce("used", F.lit(0)).alias("used"), (F.col("quota") - F.coalesce("used", F.lit(0))).alias("lack"))
+        free = placed.join(taken.select("doc_id", "use"), ["doc_id", "use"], "left_anti").join(lack, "source").where(F.col("tokens") < 2 * F.col("lack"))
+        near = F.struct(F.abs(F.col("tokens") - F.col("lack")).alias("off"), "doc_id", "use")
+        filler = free.groupBy("source").agg(F.min_by(F.struct("source", "quota", "doc_id", "use", "tokens", F.col("used").alias("start")), near).alias("d")).select("d.*")
+        taken = cut(taken.unionByName(filler))
+    placed = taken.withColumn("rank", F.floor(F.col("start") / F.lit(slot_tokens)))
 
     # the schedule: slots of the golden ratio, ranked within their source
     slots_needed = sum(-(-r["quota"] // slot_tokens) for r in plan)
