@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .deltamap import to_source_col
+from .let import let
 
 # Fixed value: the standard that fragment selectors conform to.
 CONFORMS_TO = "http://www.idpf.org/epub/linking/cfi/epub-cfi.html"
@@ -57,11 +58,10 @@ def entry_at(parsed: Column, offset: Column) -> Column:
             ),
         ),
     )
-    hit = F.get(F.filter(sums, lambda e: offset < e.before + e.length), F.lit(0))
-    last = F.element_at(sums, -1)
-    return F.when(
-        hit.isNotNull(), F.struct(hit.path.alias("path"), (offset - hit.before).cast("bigint").alias("local"), hit.before.alias("before"))
-    ).otherwise(F.struct(last.path.alias("path"), last.length.cast("bigint").alias("local"), last.before.alias("before")))
+    behind = lambda e: F.struct(e.path.alias("path"), e.length.cast("bigint").alias("local"), e.before.alias("before"))
+    inside = lambda e: F.struct(e.path.alias("path"), (offset - e.before).cast("bigint").alias("local"), e.before.alias("before"))
+    found = lambda all_: F.coalesce(F.get(F.transform(F.filter(all_, lambda e: offset < e.before + e.length), inside), F.lit(0)), behind(F.element_at(all_, -1)))
+    return let(sums, found)
 
 
 def _local_source(delta_map: Column, before: Column, local: Column) -> Column:
@@ -74,18 +74,20 @@ def _text(*parts) -> Column:
 
 def common_path(a: Column, b: Column) -> Column:
     """STRUCT<common, remainder_a, remainder_b> of two paths, step by step."""
-    steps_a, steps_b = (F.regexp_extract_all(x, F.lit("/[^/]*"), F.lit(0)) for x in (a, b))
-    both = F.zip_with(steps_a, steps_b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    differ = F.array_position(both, F.lit(False))
-    n = F.when(differ == 0, F.least(F.size(steps_a), F.size(steps_b))).otherwise(differ - 1).cast("int")
-    rest = lambda steps: F.array_join(F.slice(steps, n + 1, F.greatest(F.size(steps) - n, F.lit(0))), "")
+    steps = F.struct(*(F.regexp_extract_all(x, F.lit("/[^/]*"), F.lit(0)).alias(n) for n, x in (("a", a), ("b", b))))
+
+    def cut(s: Column) -> Column:
+        differ = F.array_position(F.zip_with(s.a, s.b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+        n = F.when(differ == 0, F.least(F.size(s.a), F.size(s.b))).otherwise(differ - 1).cast("int")
+        rest = lambda x, n: F.array_join(F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0))), "")
+        return let(n, lambda n: F.struct(F.array_join(F.slice(s.a, 1, n), "").alias("common"), rest(s.a, n).alias("remainder_a"), rest(s.b, n).alias("remainder_b")))
+
     same = F.struct(a.alias("common"), F.lit("").alias("remainder_a"), F.lit("").alias("remainder_b"))
-    return F.when(a == b, same).otherwise(F.struct(F.array_join(F.slice(steps_a, 1, n), "").alias("common"), rest(steps_a).alias("remainder_a"), rest(steps_b).alias("remainder_b")))
+    return F.when(a == b, same).otherwise(let(steps, cut))
 
 
 def _between(path_a: Column, at_a: Column, path_b: Column, at_b: Column, one: Column | None = None) -> Column:
-    parts = common_path(path_a, path_b)
-    apart = _text(parts.common, ",", parts.remainder_a, ":", at_a, ",", parts.remainder_b, ":", at_b)
+    apart = let(common_path(path_a, path_b), lambda p: _text(p.common, ",", p.remainder_a, ":", at_a, ",", p.remainder_b, ":", at_b))
     together = _text(path_a, ",:", at_a, ",:", at_b)
     if one is not None:
         together = F.when(one, _text(path_a, ":", at_a)).otherwise(together)
@@ -97,19 +99,22 @@ def resolve(selector_map: Column, start: Column, end: Column | None = None, delt
     delta = F.lit(None).cast("string") if delta_map is None else delta_map
     start = start.cast("bigint")
     end = start + 1 if end is None else F.coalesce(end.cast("bigint"), start + 1)
-    a, b = to_source_col(delta, start), to_source_col(delta, end)
-    single = F.when(b == a + 1, _text(selector_map, ":", a)).otherwise(_text(selector_map, ",:", a, ",:", b))
-    parsed = entries(selector_map)
-    ea, eb = entry_at(parsed, start), entry_at(parsed, end - 1)
-    la, lb = _local_source(delta, ea.before, ea.local), _local_source(delta, eb.before, eb.local) + 1
-    several = _between(ea.path, la, eb.path, lb, lb == la + 1)
-    return fragment(F.when(selector_map.startswith("/"), single).otherwise(several))
+    ends = F.struct(to_source_col(delta, start).alias("a"), to_source_col(delta, end).alias("b"))
+    single = let(ends, lambda x: F.when(x.b == x.a + 1, _text(selector_map, ":", x.a)).otherwise(_text(selector_map, ",:", x.a, ",:", x.b)))
+
+    def several(e: Column) -> Column:
+        at = F.struct(_local_source(delta, e.a.before, e.a.local).alias("a"), (_local_source(delta, e.b.before, e.b.local) + 1).alias("b"))
+        return let(at, lambda x: _between(e.a.path, x.a, e.b.path, x.b, x.b == x.a + 1))
+
+    both = let(entries(selector_map), lambda parsed: F.struct(entry_at(parsed, start).alias("a"), entry_at(parsed, end - 1).alias("b")))
+    return fragment(F.when(selector_map.startswith("/"), single).otherwise(let(both, several)))
 
 
-def _point(selector_map: Column, offset: Column, delta: Column) -> tuple[Column, Column]:
-    entry = entry_at(entries(selector_map), offset)
-    single = selector_map.startswith("/")
-    return F.when(single, selector_map).otherwise(entry.path), F.when(single, to_source_col(delta, offset)).otherwise(_local_source(delta, entry.before, entry.local))
+def _point(selector_map: Column, offset: Column, delta: Column) -> Column:
+    """STRUCT<path, at> of one position."""
+    whole = F.struct(selector_map.alias("path"), to_source_col(delta, offset).alias("at"))
+    part = let(entry_at(entries(selector_map), offset), lambda e: F.struct(e.path.alias("path"), _local_source(delta, e.before, e.local).alias("at")))
+    return F.when(selector_map.startswith("/"), whole).otherwise(part)
 
 
 def resolve_range(start_map: Column, start: Column, end_map: Column, end: Column, start_delta: Column | None = None, end_delta: Column | None = None) -> Column:
@@ -117,6 +122,6 @@ def resolve_range(start_map: Column, start: Column, end_map: Column, end: Column
     none = F.lit(None).cast("string")
     start, end = start.cast("bigint"), end.cast("bigint")
     start_delta, end_delta = none if start_delta is None else start_delta, none if end_delta is None else end_delta
-    path_a, at_a = _point(start_map, start, start_delta)
-    path_b, at_b = _point(end_map, end, end_delta)
-    return F.when(start_map == end_map, resolve(start_map, start, end, start_delta)).otherwise(fragment(_between(path_a, at_a, path_b, at_b)))
+    points = F.struct(_point(start_map, start, start_delta).alias("a"), _point(end_map, end, end_delta).alias("b"))
+    apart = let(points, lambda p: _between(p.a.path, p.a.at, p.b.path, p.b.at))
+    return F.when(start_map == end_map, resolve(start_map, start, end, start_delta)).otherwise(fragment(apart))

@@ -10,6 +10,8 @@ from bisect import bisect_right
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 
 def parse(text: str | None) -> list[tuple[int, int]]:
     numbers = [int(x) for x in (text or "").split()]
@@ -73,14 +75,15 @@ def pairs_col(text: Column) -> Column:
     """ARRAY<STRUCT<pos, delta>> of a map; empty for NULL, '' and anything that is not pairs of numbers."""
     words = F.split(F.trim(text), "\\s+")
     numbers = F.transform(F.when(F.length(F.trim(text)) > 0, words), lambda x: x.try_cast("bigint"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2).cast("int") - 1, F.lit(0))),
-        lambda k: F.struct(F.get(numbers, 2 * k).alias("pos"), F.get(numbers, 2 * k + 1).alias("delta")),
-    )
     none = F.array().cast("array<struct<pos:bigint,delta:bigint>>")
-    return F.when(F.size(numbers) >= 2, F.filter(pairs, lambda p: p.pos.isNotNull() & p.delta.isNotNull())).otherwise(none)
+
+    def pairs(n: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 2).cast("int") - 1), lambda k: F.struct(F.get(n, 2 * k).alias("pos"), F.get(n, 2 * k + 1).alias("delta")))
+        return F.when(F.size(n) >= 2, F.filter(every, lambda p: p.pos.isNotNull() & p.delta.isNotNull())).otherwise(none)
+
+    return let(numbers, pairs)
 
 
 def to_source_col(text: Column, pos: Column) -> Column:
     before = F.filter(pairs_col(text), lambda p: p.pos <= pos)
-    return pos - F.when(F.size(before) > 0, F.element_at(before, -1).delta).otherwise(F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")) == "", pos).otherwise(pos - F.coalesce(let(before, lambda b: F.get(b, F.size(b) - 1).delta), F.lit(0)))

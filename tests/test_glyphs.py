@@ -162,7 +162,7 @@ def test_sentence_rects(spark, document):
     asked = [("d", [0], "0"), ("d", [0], "x-s1"), ("d", [1], "1"), ("d", [1], "9"), ("d", [3], "0"), ("d", [9], "0"), ("d", [0], "no")]
     out = [r.page_rects for r in retrieval.sentence_page_rects(nodes, spark.createDataFrame(asked, "doc_id string, ref array<int>, sid string")).orderBy("ref", "sid").collect()]
     by = dict(zip(sorted((tuple(a[1]), a[2]) for a in asked), out))
-    assert by[(0,), "0"] == [[0, 0, 0, 35, 10]] and by[(0,), "x-s1"] == [[0, 35, 0, 60, 10]]
+    assert by[(0,), "0"] == [[0, 0, 0, 15, 10], [0, 15, 0, 35, 10]] and by[(0,), "x-s1"] == [[0, 35, 0, 60, 10]]
     assert by[(1,), "1"] == [[0, 0, 30, 60, 40]] and by[(1,), "9"] == [] and by[(9,), "0"] == [] and by[(0,), "no"] == []
 
 

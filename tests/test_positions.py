@@ -53,7 +53,7 @@ def test_fragments(row):
     several = lit("5 /1\n10 /3/1")
     assert row(cfi.resolve(several, n(7)))["value"] == "epubcfi(/3/1:2)"
     assert row(cfi.resolve(several, n(3), n(7)))["value"] == "epubcfi(,/1:3,/3/1:2)"
-    assert row(cfi.resolve(several, n(40)))["value"] == "epubcfi(/3/1,:10,:11)" or True
+    assert row(cfi.resolve(several, n(40)))["value"] == "epubcfi(/3/1:10)"
     assert row(cfi.expand(lit(PATH), lit("6 /1\n5 /2/1\n1 /3"))) == f"6 {PATH}/1\n5 {PATH}/2/1\n1 {PATH}/3"
     assert row(cfi.expand(lit(PATH), lit(""))) == PATH and row(cfi.expand(lit(PATH), lit("/7"))) == f"{PATH}/7"
     assert row(cfi.block_fragment(lit(PATH)))["type"] == "FragmentSelector"
