@@ -30,6 +30,8 @@ WINDOW = 512
 HALO = 16
 #: Log-odds of a word that the model has not seen.
 UNKNOWN = -1.0
+#: The share of pages on which a label of link lists must stand to be furniture by itself.
+LABEL_SHARE = 0.003
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
@@ -116,16 +118,6 @@ def _weak_label(flow: str | None, block_type: str | None) -> bool:
     return flow == "excluded" or flow == "auxiliary" and block_type not in ("caption", "note")
 
 
-def _features(block_type: str | None, text: str) -> set[str]:
-    if block_type in ("table", "math", "preformatted", "image"):
-        return set()
-    out = {"=" + k for k in map(unit_key, stretches(text)) if len(k) > 1}
-    out.update(w.casefold() for w in _WORD.findall(text))
-    if "©" in text:
-        out.add("©")
-    return out
-
-
 def _linked_titles(block_type: str | None, text: str) -> bool:
     """Whether a text is nothing but short labels without sentences, each a link."""
     if block_type in ("table", "preformatted", "math", "heading"):
@@ -134,13 +126,26 @@ def _linked_titles(block_type: str | None, text: str) -> bool:
     return (block_type == "list" or len(parts) > 1) and not any(_SENTENCE.search(p) for p in parts)
 
 
+def _features(block_type: str | None, text: str) -> set[str]:
+    """What the model counts of a block: '~' labels of link lists, '=' stretches and words of all others."""
+    if block_type in ("table", "math", "preformatted", "image"):
+        return set()
+    mark = "~" if _linked_titles(block_type, text) else "="
+    out = {mark + k for k in map(unit_key, stretches(text)) if len(k) > 1}
+    if mark == "=":
+        out.update(w.casefold() for w in _WORD.findall(text))
+        if "©" in text:
+            out.add("©")
+    return out
+
+
 def page_features(blocks: list[tuple[str | None, str | None, str | None]]) -> list[tuple[str, int]]:
     """(feature, label) of a page's blocks (flow class, type, text) in order.
 
-    Words and '=' stretches are labelled by the block's flow class; '>' and a short block's text by whether
-    linked titles follow it.
+    Words, '=' stretches and '~' labels are labelled by the block's flow class; '>' and a short block's text
+    by whether links follow it; '#' counts pages.
     """
-    out = []
+    out = [("#", 0)]
     for i, (flow, kind, text) in enumerate(blocks):
         if not text:
             continue
@@ -159,7 +164,9 @@ class Model:
         """From (feature, blocks, labelled blocks)."""
         self.words: dict[str, float] = {}
         self.units: dict[str, float] = {}
+        self.labels: set[str] = set()
         self.heads: dict[str, bool] = {}
+        pages = next((n for f, n, _ in counts if f == "#"), 0)
         for feature, n, k in counts:
             rate = (k + 0.1) / (n + 1)
             if feature[0] == ">":
@@ -168,29 +175,33 @@ class Model:
             odds = (math.log(rate / (1 - rate)) if rate < 1 else 4.0) - math.log(0.2 / 0.8)
             if feature[0] == "=":
                 self.units[feature[1:]] = odds
-            else:
+            elif feature[0] == "~":
+                if odds > 0 and n >= LABEL_SHARE * pages:
+                    self.labels.add(feature[1:])
+            elif feature[0] != "#":
                 self.words[feature] = odds
 
-    def unit(self, key: str) -> bool:
-        return self.units.get(key, -9.0) > 0
+    def unit(self, key: str, linked: bool = False) -> bool:
+        """Whether a stretch is furniture: by its label, and in link lists, where titles of articles stand too, by its frequency."""
+        return key in self.labels if linked else self.units.get(key, -9.0) > 0
 
     def leads(self, text: str) -> bool:
         """Whether links follow a label; a label that was never seen may."""
         return self.heads.get(unit_key(text), True)
 
-    def read(self, text: str) -> tuple[float, float]:
-        """(share of the text's characters in furniture stretches, mean log-odds of its words)."""
+    def read(self, text: str, linked: bool = False) -> tuple[float, float]:
+        """(share of the text's characters in furniture stretches, mean log-odds of its words; no words in link lists)."""
         boiler = total = 0
         for s in stretches(text):
             n = len(s.strip())
             total += n
-            if self.unit(unit_key(s)):
+            if self.unit(unit_key(s), linked):
                 boiler += n
-        odds = [self.words.get(w, UNKNOWN) for w in (m.casefold() for m in _WORD.findall(text))]
+        odds = [] if linked else [self.words.get(w, UNKNOWN) for w in (m.casefold() for m in _WORD.findall(text))]
         return (boiler / total if total else 0.0), (sum(odds) / len(odds) if odds else 0.0)
 
 
-def fit(blocks: DataFrame, sample_blocks: int = 300_000, most_features: int = 60_000, least: int = 3) -> Model:
+def fit(blocks: DataFrame, sample_blocks: int = 300_000, most_features: int = 60_000, least: int = 2) -> Model:
     """The word model, from whole trees of a bounded sample.
 
     ``sample_blocks`` bounds the expected number of labelled blocks that are read (trees are chosen by a
@@ -258,7 +269,6 @@ def classify_page(blocks: list[tuple[str | None, str | None]], model: Model) ->
     own = np.zeros(n, dtype=bool)  # evidence for furniture of the block itself
     ratio = np.zeros(n)
     titles = np.zeros(n, dtype=bool)  # nothing but short labels without sentences
-    prose = np.zeros(n, dtype=bool)
     blank = np.zeros(n, dtype=bool)
     texts = [skeleton(t) if t else "" for _, t in blocks]
     for i, ((kind, _), text) in enumerate(zip(blocks, texts)):
@@ -266,13 +276,12 @@ def classify_page(blocks: list[tuple[str | None, str | None]], model: Model) ->
             blank[i] = True
             continue
         tags, links, chars, linked = parse_line(kind, text)
-        share, odds = model.read(text) if kind not in ("table", "math", "preformatted") else (0.0, -2.0)
+        titles[i] = _linked_titles(kind, text)
+        share, odds = model.read(text, bool(titles[i])) if kind not in ("table", "math", "preformatted") else (0.0, -2.0)
         sure = 0.5 if share == 0 and kind in ("heading", "caption", "note") else 0.0
         crumbs = share > 0 and links >= 2 and kind != "list"
         own[i] = share >= 0.5 or odds > sure or crumbs or text.startswith("©") and share + odds > -1
         ratio[i] = math.log1p(chars * (1 - share) / max(tags, 1))
-        titles[i] = _linked_titles(kind, text)
-        prose[i] = bool(_SENTENCE.search(text)) and chars > 80 and not own[i]
     if not (~blank).any():
         return [True] * n
     smooth = _smooth(ratio)
