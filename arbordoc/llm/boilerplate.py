@@ -201,7 +201,7 @@ class Model:
         return (boiler / total if total else 0.0), (sum(odds) / len(odds) if odds else 0.0)
 
 
-def fit(blocks: DataFrame, sample_blocks: int = 300_000, most_features: int = 60_000, least: int = 2) -> Model:
+def fit(blocks: DataFrame, sample_blocks: int = 100_000, most_features: int = 60_000, least: int = 2) -> Model:
     """The word model, from whole trees of a bounded sample.
 
     ``sample_blocks`` bounds the expected number of labelled blocks that are read (trees are chosen by a
