@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,5 +40,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the session's Python workers this package, wherever they run; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_arbordoc_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        path = os.path.join(tempfile.mkdtemp(prefix="arbordoc-"), "arbordoc.zip")
+        with open(path, "wb") as file:
+            file.write(held.getvalue())
+        context.addPyFile(path)
+    context._arbordoc_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -39,7 +39,7 @@ def starts_with(ref: Column, prefix: Column) -> Column:
 
 def ref_end(ref: Column) -> Column:
     """The boundary behind a node."""
-    return F.concat(F.slice(ref, 1, F.greatest(F.size(ref) - 1, F.lit(0))), F.array(F.element_at(ref, -1) + 1))
+    return F.concat(F.slice(ref, 1, F.greatest(F.size(ref) - 1, F.lit(0))), F.array(F.get(ref, F.size(ref) - 1) + 1))
 
 
 def parent(ref: Column) -> Column:
@@ -58,7 +58,3 @@ def block_span(start: Column, end: Column, block_count: Column) -> Column:
     return F.when(valid & (start == end), empty).when(
         valid & (last <= block_count), F.struct(first.alias("start_index"), F.greatest(first, behind).alias("end_index"))
     )
-
-
-def valid_ref(ref: Column) -> Column:
-    return is_boundary(ref)

@@ -9,6 +9,8 @@ so their slices, and theirs alone, are put in order by a group function.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..cluster import cut
 from ..functions import refs
-from ..functions.utf16 import js_trim, strip_line_ends, u16_len, u16_slice
+from ..functions.utf16 import BLANKS_TEXT, js_trim, strip_line_ends, u16_len, u16_slice
 from .parts import drops_hyphen, seam_ends, seam_separator
 from .ranges import leaves_in_ranges, split_points
 
@@ -167,17 +169,14 @@ def _stepwise(slices: DataFrame, key: str) -> DataFrame:
 
 
 def _word(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.category(c)[0] in "LN"
 
 
-_BLANKS = "\t\n\x0b\x0c\r                  　﻿"
 
 
 def _seam(a: dict, b: dict) -> str:
     last, first = a["last_text"], b["first_text"]
-    if not last or not first or last[-1] in _BLANKS or first[0] in _BLANKS or a["last_soft"]:
+    if not last or not first or last[-1] in BLANKS_TEXT or first[0] in BLANKS_TEXT or a["last_soft"]:
         return ""
     return " " if _word(last[-1]) and _word(first[0]) else ""
 

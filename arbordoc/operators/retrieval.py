@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import glyphs
 from ..functions.sentences import sentence_spans
-from ..functions.utf16 import py_len
+from ..functions.utf16 import BLANKS_TEXT, py_len, u16_len, u16_slice
 from .ranges import leaves_in_ranges, split_points
 
 _RECT = T.ArrayType(T.DoubleType())
@@ -44,8 +46,6 @@ def blocks_at_rects(nodes: DataFrame, pages: DataFrame, rects: DataFrame, key: s
 
 def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """(by, start, end): the union of each group's intervals; touching ones become one."""
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy(*by).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -56,7 +56,7 @@ _SENTENCE = T.ArrayType(T.StructType().add("sid", T.IntegerType()).add("text", T
 
 
 def _trim(text: str) -> str:
-    return text.strip("\t\n\x0b\x0c\r                  　﻿")
+    return text.strip(BLANKS_TEXT)
 
 
 @F.pandas_udf(_SENTENCE)
@@ -77,8 +77,6 @@ def selected_texts(nodes: DataFrame, selection: DataFrame | None, key: str = "do
     gone = above.join(excluded, [key, "_ancestor"], "left_semi").select(key, "ref").distinct()
     leaves = leaves.join(gone, [key, "ref"], "left_anti")
     texts = nodes.where("kind = 'text'").select(key, F.col("parent_ref").alias("ref"), F.col("ref").alias("seg"), F.col("text").alias("seg_text"))
-    from ..functions.utf16 import u16_len, u16_slice
-
     if selection is None:
         chosen = leaves.join(texts, [key, "ref"], "left").withColumn("piece", F.coalesce("seg_text", F.lit(""))).withColumn("start", F.lit(0))
     else:
@@ -187,8 +185,6 @@ def sentence_rects(texts: list[tuple[str, str | None]], block_rects: list | None
 
 def parse_sid(value: str | int | None) -> int | None:
     """A sentence number: a number, or the digits behind the last 's' of an id."""
-    import re
-
     if isinstance(value, int) and not isinstance(value, bool):
         return value if value >= 0 else None
     m = isinstance(value, str) and (re.search(r"[sS](\d+)$", value) or re.fullmatch(r"(\d+)", value))

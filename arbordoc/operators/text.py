@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import refs
-from ..functions.utf16 import u16_len
+from ..functions.utf16 import u16_len, u16_slice
 
 
 def leaf_texts(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,8 +56,6 @@ def top_level_blocks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def text_positions(nodes: DataFrame, key: str = "doc_id", text: str = "text", level: int = 1) -> DataFrame:
     """Text nodes with ``start`` and ``end``: their UTF-16 offsets in the text of their ancestor at ``level`` (``root_ref``)."""
-    from pyspark.sql.window import Window
-
     rows = nodes.where("kind = 'text'").where(F.size("ref") > level).withColumn("root_ref", F.slice("ref", 1, level)).withColumn("units", u16_len(F.col(text)))
     order = Window.partitionBy(key, "root_ref").orderBy("ref")
     end = F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -86,8 +85,6 @@ def next_block_refs(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     The order of a document of any size is cut in ranges of top-level blocks; only each range's first
     block is handed to the one before it.
     """
-    from pyspark.sql.window import Window
-
     blocks = nodes.where("kind = 'block'").select(key, "ref", F.floor(F.col("top_index") / 1_024).alias("_range"))
     inside = blocks.withColumn("_next", F.lead("ref").over(Window.partitionBy(key, "_range").orderBy("ref")))
     firsts = blocks.groupBy(key, "_range").agg(F.min("ref").alias("_first"))
@@ -95,7 +92,7 @@ def next_block_refs(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return inside.join(ahead, [key, "_range"]).select(key, "ref", F.coalesce("_next", "_ahead").alias("next_ref"))
 
 
-def characters(nodes: DataFrame, key: str = "doc_id", limit_to_block: bool = False) -> DataFrame:
+def characters(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """The character stream of documents: (key, ref, offset, char, block), one row per UTF-16 unit in reading order.
 
     A cursor is the place (ref, offset) behind the last character read, so the next character is the first
@@ -114,7 +111,6 @@ def next_chars(nodes: DataFrame, cursors: DataFrame, key: str = "doc_id", confin
     A cursor at a block reads its first text; at a text's end, or at a ref that does not exist, the text
     after it; behind the last text, NULL and offset 0.  ``confined`` cursors stay in their top-level block.
     """
-    here = F.struct("ref", "offset")
     at = cursors.where(F.size("ref") > 0).select(key, "cursor_id", F.col("ref").alias("_at"), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).alias("_offset"))
     spans = nodes.where("kind = 'text' AND text <> ''").select(key, "ref", "ref_end", "top_index", "text", u16_len(F.col("text")).alias("units"))
     same = (F.col("ref") == F.col("_at")) & (F.col("_offset") < F.col("units"))
@@ -124,9 +120,6 @@ def next_chars(nodes: DataFrame, cursors: DataFrame, key: str = "doc_id", confin
     if confined:
         near = near.where(F.col("top_index") == F.get("_at", F.lit(0)))
     first = near.groupBy(key, "cursor_id").agg(F.min_by(F.struct("ref", "text", F.when(same, F.col("_offset")).otherwise(0).alias("offset")), F.col("ref")).alias("hit"))
-    from ..functions.utf16 import u16_slice
-
-    del here
     hit = first.select(
         key, "cursor_id", u16_slice(F.col("hit.text"), F.col("hit.offset"), F.col("hit.offset") + 1).alias("char"), F.col("hit.ref").alias("next_ref"),
         (F.col("hit.offset") + 1).cast("int").alias("next_offset"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import scratch, table
+from ..cluster import cut, scratch, table
 from ..functions import cfi, deltamap, glyphs
 from ..functions.utf16 import u16_len
 from ..operators import chunker, dom, fulltext, incremental, merge, parts, ranges, retrieval, text
@@ -89,12 +89,12 @@ def page_leaf_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_fulltext(spark: SparkSession, folder: str) -> DataFrame:
     """The text of every page."""
-    return fulltext.page_texts(tables.nodes(spark, folder), tables.pages(spark, folder), KEY).select(KEY, "page_index", "text")
+    return fulltext.page_texts(cut(tables.nodes(spark, folder)), tables.pages(spark, folder), KEY).select(KEY, "page_index", "text")
 
 
 def document_fulltext(spark: SparkSession, folder: str) -> DataFrame:
     """The text of all pages of a tree, paragraphs joined over page ends."""
-    linked = tables.with_parts(tables.nodes(spark, folder), tables.distinct_blocks(spark, folder))
+    linked = cut(tables.with_parts(tables.nodes(spark, folder), tables.distinct_blocks(spark, folder)))
     pages = tables.pages(spark, folder)
     requests = pages.select(KEY, F.lit(0).alias("request_id"), F.col("page_index").alias("position"), "page_index")
     return fulltext.fulltext(linked, pages, requests, KEY).select(KEY, "text")
@@ -102,7 +102,7 @@ def document_fulltext(spark: SparkSession, folder: str) -> DataFrame:
 
 def part_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs continued over page ends as logical texts."""
-    linked = tables.with_parts(tables.nodes(spark, folder), tables.distinct_blocks(spark, folder))
+    linked = cut(tables.with_parts(tables.nodes(spark, folder), tables.distinct_blocks(spark, folder)))
     told = parts.logical_texts(linked, text.nested_texts(linked, KEY, top_level_only=True), KEY)
     return told.select(KEY, F.get("root", F.lit(0)).alias("root"), F.size("refs").alias("parts"), "text")
 

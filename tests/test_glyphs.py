@@ -176,3 +176,41 @@ def test_pieces_do_not_touch_the_original():
     before = copy.deepcopy(t["content"][0]["content"][0])
     edits._piece(t["content"][0]["content"][0], 0, 1)
     assert t["content"][0]["content"][0] == before
+
+
+def test_glyph_tables(spark):
+    from arbordoc.operators import glyph_tables as gt
+
+    t = tree([paragraph(text("a ", style={"bold": True}), anchored("b\U0001f600 c", run(5, 5, 5, [2, 5]))), listing("x")])
+    nodes = flatten(frame(spark, {"d": t}), "nodes").cache()
+    runs = gt.glyph_runs(nodes).collect()
+    assert len(runs) == 1 and runs[0].ref == [0, 1] and [w.delta for w in runs[0].widths] == [None, None, None, 2]
+    units = gt.block_units(nodes).where("root_ref = array(0)").orderBy("offset").collect()
+    assert [u.offset for u in units] == list(range(7)) and "".join(u.char for u in units) == "a b\U0001f600 c"
+    assert units[0].style.bold and units[0].x1 is None and (units[2].x1, units[2].x2, units[2].page_index) == (0, 5, 0) and units[5].x1 is None and units[6].x1 == 17
+    told = gt.compaction_errors(nodes).first()
+    assert told.runs == 1 and told.characters == 4 and told.max_error == 0
+
+
+def test_encoding_in_groups(spark):
+    from arbordoc.operators import glyph_tables as gt
+
+    names = [c.split()[0] for c in gt.CHARACTERS.split(", ")]
+    def row(block, no, c, x, **more):
+        base = dict.fromkeys(names) | {"doc_id": "d", "page_index": 2, "block_no": block, "char_no": no, "c": c, "rect": [float(x), 0.0, x + 5.0, 10.0], "axis_dir": 0}
+        return tuple((base | more)[n] for n in names)
+
+    rows = [row(0, 1, "i", 5), row(0, 0, "H", 0), row(1, 0, "x", 0, bold=True), row(1, 1, None, 0)]
+    df = spark.createDataFrame(rows, gt.CHARACTERS)
+    out = gt.encode_characters(df).orderBy("block_no", "ordinal").collect()
+    assert [(r.block_no, r.text, r.style) for r in out] == [(0, "Hi", None), (1, "x", '{"bold": true}')] and out[0].text_map == "[[0,2,0,0,10,10,5,5]]"
+    assert [r.text_map for r in gt.encode_characters(df, preformatted=True).collect()] == [None, None]
+    assert gt.encode_characters(df.where("false")).count() == 0
+
+
+def test_sql_functions(spark):
+    from arbordoc.functions import sql
+
+    assert "tree_units" in sql.register(spark)
+    r = spark.sql("SELECT tree_ref_key(array(1, 2)) a, tree_ref_end(array(1, 2)) b, tree_ref_starts_with(array(1, 2), array(1)) c, tree_units('a\U0001f600') d, tree_delta_source('5 -1 7 -3', 6) e, tree_is_boundary(array()) f, tree_delta_source(NULL, 4) g").first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("1,2", [1, 3], True, 3, 7, False)
