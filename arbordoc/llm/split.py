@@ -93,7 +93,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         for k in range(1, count):
             target = int(round(k * step)) + overlap
             most = low_unit + limit
-            least = int(units[cuts[-1]]) + 1 if cuts else overlap + 1
+            # far enough that the next piece begins behind this one, a unit for a surrogate pair included
+            least = max(int(units[cuts[-1]]) + 1 if cuts else 1, low_unit + overlap + (2 if overlap else 1))
             lo, hi = bisect_left(at_units, max(target - reach, least)), bisect_right(at_units, min(target + reach, most))
             if lo < hi:
                 window, near = strength[lo:hi], -np.abs(at_units[lo:hi] - target)
@@ -101,7 +102,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
             else:
                 pick = _keeps_cluster(text, char_at(min(max(target, least), most)))
                 if units[pick] < least:
-                    pick = char_at(min(max(target, least), most))
+                    pick = max(char_at(min(max(target, least), most)), int(np.searchsorted(units, least)))
             if units[pick] <= (int(units[cuts[-1]]) if cuts else 0) or units[pick] - low_unit > limit:
                 break
             cuts.append(pick)

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from arbordoc.functions.utf16 import py_len, py_slice
@@ -21,7 +21,8 @@ def check(text, limit, overlap):
     return pieces
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None, derandomize=True)
+@example("\U0001f600\U0001f600\U0001f600.;\u0301", 4, 1)
 @given(st.text(alphabet="ab .\n,;é\U0001f600́‍", max_size=400), st.integers(4, 60), st.integers(0, 30))
 def test_any_text(text, limit, overlap):
     check(text, limit, overlap)
