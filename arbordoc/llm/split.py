@@ -86,6 +86,12 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         return int(np.searchsorted(units, u, side="right")) - 1
 
     while True:
+        if count > total:  # no balanced layout fits: fill each piece
+            cuts, low_unit = [], 0
+            while total - low_unit > limit:
+                cuts.append(char_at(low_unit + limit))
+                low_unit = int(units[char_at(int(units[cuts[-1]]) - overlap)])
+            break
         step = (total - overlap) / count
         reach = max(1, int(step * REACH))
         cuts: list[int] = []  # in characters
