@@ -3,8 +3,9 @@
 A page's blocks are written out as markup and read by the standard library's streaming HTML parser, whose
 events give every line's text-to-tag ratio.  Text that recurs over the corpus as page furniture does not
 count as text there.  The ratios are smoothed along the page by a Gaussian and split in two clusters;
-lines of the upper one are content regions.  Lines that are too short to tell (headings, captions, notes,
-formulas) follow the evidence of their own words, then their neighbours.
+lines of the upper one are content regions and main body unless their words say furniture.  A line outside
+the regions is main body only by the evidence of its own words, or, where these are unseen, if it is a part
+of an article (heading, caption, note, formula, ...) beside main body.
 
 What recurs as furniture is learnt from the blocks' own flow class, noisy as it is: a word model, fitted
 on whole trees of a bounded sample.
@@ -40,6 +41,8 @@ _CLAUSE = re.compile(r"(?<=[.!?;])\s+|\s+[–—-]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(r"^\s*\d+\s*[.)]\s*")
 _SENTENCE = re.compile(r"[.!?。！？](?:[\"'”’»)]|\s|$)")
+#: Block types that stand in articles however short they are.
+_PARTS = ("heading", "caption", "note", "table", "math", "preformatted", "blockquote", "list")
 # The element each block type stands for.
 _ELEMENT = {
     "heading": "h2", "list": "ul", "listitem": "li", "table": "table", "blockquote": "blockquote",
@@ -200,6 +203,12 @@ class Model:
         odds = [] if linked else [self.words.get(w, UNKNOWN) for w in (m.casefold() for m in _WORD.findall(text))]
         return (boiler / total if total else 0.0), (sum(odds) / len(odds) if odds else 0.0)
 
+    def vouches(self, text: str) -> bool:
+        """Whether a text's words are known, most of them, and speak for the main body more than an unknown word does."""
+        odds = [self.words.get(m.casefold()) for m in _WORD.findall(text)]
+        known = [o for o in odds if o is not None]
+        return 2 * len(known) > len(odds) and sum(known) / len(known) < UNKNOWN
+
 
 def fit(blocks: DataFrame, sample_blocks: int = 100_000, most_features: int = 60_000, least: int = 2) -> Model:
     """The word model, from whole trees of a bounded sample.
@@ -305,7 +314,17 @@ def classify_page(blocks: list[tuple[str | None, str | None]], model: Model) ->
             # links in a paragraph are a menu; a list of them is one if numbered, or under a furniture label
             body[i] = kind == "list" and not _NUMBERED.match(texts[i]) and not under_furniture(i)
         else:
-            body[i] = True
+            body[i] = region[i] or model.vouches(texts[i])
+    # outside the regions, what the words cannot tell follows its neighbours: a heading the text under it, parts
+    # of an article the text on either side; any other line is none of the main body
+    told = np.flatnonzero(~blank)
+    for at in range(len(told) - 1, -1, -1):
+        i = told[at]
+        kind = blocks[i][0]
+        if own[i] or titles[i] or body[i] or kind not in _PARTS:
+            continue
+        after = at + 1 < len(told) and body[told[at + 1]]
+        body[i] = after or kind != "heading" and at > 0 and body[told[at - 1]]
     # a page without a content region has no main body: what is left are link lists and their labels
     if not (region & body & ~titles).any() or all(titles[i] for i in range(n) if body[i]):
         body[:] = False

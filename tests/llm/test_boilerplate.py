@@ -94,3 +94,12 @@ def test_smoothing_and_threshold():
 
     flat = bp._smooth(np.ones(7))
     assert np.allclose(flat, 1) and 1 < bp._threshold(np.array([0.0, 1, 1, 9, 10])) < 9
+
+
+def test_regions_decide_where_the_words_are_unseen():
+    rng = random.Random(6)
+    known = {w: (50, 0) for w in "small brass bell".split()} | {"promo": (50, 45)}
+    model = bp.Model([("#", 100, 0), *((w, n, k) for w, (n, k) in known.items())])
+    page = [("paragraph", "Zwapp it", False), ("paragraph", "Glimt", False), ("heading", "Vorpal Grintha", True), *[("paragraph", prose(rng), True) for _ in range(4)],
+            ("caption", "Quorl", True), ("paragraph", "Small brass bell", True), ("paragraph", "Frobb", False), ("paragraph", "Snerk 7", False), ("paragraph", "Promo", False)]
+    assert bp.classify_page([(k, t) for k, t, _ in page], model) == [m for *_, m in page]
