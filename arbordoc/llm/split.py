@@ -1,8 +1,9 @@
 """Problem 1: cutting oversized texts into overlapping pieces at natural boundaries, by balanced targets.
 
 The least number of pieces follows from length, limit and overlap.  Targets of equal length are laid out,
-each is moved to the strongest boundary nearby, and if a piece then exceeds the limit, the layout is made
-again with one piece more.  All lengths and positions are UTF-16 units.
+each is moved to the strongest boundary nearby, or else to the nearest one that keeps the limits; a run is
+cut only where it has none.  If a piece then exceeds the limit, the layout is made again with one piece
+more.  All lengths and positions are UTF-16 units.
 """
 
 from __future__ import annotations
@@ -85,35 +86,53 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         """The last character position at or before a unit."""
         return int(np.searchsorted(units, u, side="right")) - 1
 
+    def legal(low_unit: int, cuts: list[int]) -> tuple[int, int]:
+        """The least and the most unit for the next cut: the piece within its limit, the one after it beginning behind it."""
+        # a unit for a surrogate pair included
+        return max(int(units[cuts[-1]]) + 1 if cuts else 1, low_unit + overlap + (2 if overlap and wide else 1)), low_unit + limit
+
     while True:
+        cuts: list[int] = []  # in characters
+        low_unit = 0  # where the piece under construction starts
         if count > total:  # no balanced layout fits: fill each piece
-            cuts, low_unit = [], 0
             while total - low_unit > limit:
-                cuts.append(char_at(low_unit + limit))
+                least, most = legal(low_unit, cuts)
+                lo, hi = bisect_left(at_units, least), bisect_right(at_units, most)
+                cuts.append(int(at[hi - 1]) if lo < hi else char_at(most))
                 low_unit = int(units[char_at(int(units[cuts[-1]]) - overlap)])
             break
-        step = (total - overlap) / count
-        reach = max(1, int(step * REACH))
-        cuts: list[int] = []  # in characters
-        low_unit = 0  # where the piece under construction starts
+        base, done = 0, 0  # targets are laid out from here, behind so many cuts
+        whole = False  # the rest is one piece
         for k in range(1, count):
-            target = int(round(k * step)) + overlap
-            most = low_unit + limit
-            # far enough that the next piece begins behind this one, a unit for a surrogate pair included
-            least = max(int(units[cuts[-1]]) + 1 if cuts else 1, low_unit + overlap + (2 if overlap else 1))
+            step = (total - overlap - base) / (count - done)
+            reach = max(1, int(step * REACH))
+            target = base + int(round((k - done) * step)) + overlap
+            least, most = legal(low_unit, cuts)
             lo, hi = bisect_left(at_units, max(target - reach, least)), bisect_right(at_units, min(target + reach, most))
-            if lo < hi:
-                window, near = strength[lo:hi], -np.abs(at_units[lo:hi] - target)
-                pick = int(at[lo + int(np.lexsort((near, window))[-1])])
+            near = lo < hi
+            if near:
+                window, close = strength[lo:hi], -np.abs(at_units[lo:hi] - target)
+                pick = int(at[lo + int(np.lexsort((close, window))[-1])])
+            elif whole := total - low_unit <= limit:
+                break
+            elif (lo := bisect_left(at_units, least)) < (hi := bisect_right(at_units, most)):
+                # nothing near the target: the nearest boundary that keeps the limits
+                pick = int(at[lo + int(np.lexsort((strength[lo:hi], -np.abs(at_units[lo:hi] - target)))[-1])])
             else:
-                pick = _keeps_cluster(text, char_at(min(max(target, least), most)))
+                # an unbroken run: no more cuts in it than it takes
+                run_end = int(at_units[hi]) if hi < len(at_units) else total
+                inside = -(-(run_end - low_unit - overlap) // fresh) - 1
+                goal = min(max(target, least, run_end - inside * fresh), most)
+                pick = _keeps_cluster(text, char_at(goal))
                 if units[pick] < least:
-                    pick = max(char_at(min(max(target, least), most)), int(np.searchsorted(units, least)))
+                    pick = max(char_at(goal), int(np.searchsorted(units, least)))
             if units[pick] <= (int(units[cuts[-1]]) if cuts else 0) or units[pick] - low_unit > limit:
                 break
             cuts.append(pick)
             low_unit = int(units[char_at(int(units[pick]) - overlap)])
-        if len(cuts) == count - 1 and total - low_unit <= limit:
+            if not near:
+                base, done = low_unit, k
+        if (whole or len(cuts) == count - 1) and total - low_unit <= limit:
             break
         count += 1
     pieces, start = [], 0

@@ -5,7 +5,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from arbordoc.functions.utf16 import py_len, py_slice
-from arbordoc.llm.split import split_chunks, split_oversized, split_text
+from arbordoc.llm.split import _cut_points, split_chunks, split_oversized, split_text
 
 
 def check(text, limit, overlap):
@@ -51,6 +51,25 @@ def test_strongest_boundary_wins():
     assert first == 52
 
 
+@settings(max_examples=400, deadline=None, derandomize=True)
+@given(st.text(alphabet="abcdefghij .\n", max_size=600), st.integers(20, 80), st.integers(0, 15))
+@example("x" * 181 + "\n" + "y" * 61, 240, 24)
+@example("word " * 35 + "x" * 160 + " word" * 40, 100, 20)
+def test_runs_are_cut_only_where_they_have_no_boundary(text, limit, overlap):
+    pieces = check(text, limit, overlap)
+    overlap = min(overlap, limit // 2 - 1)
+    natural = set(_cut_points(text)[0].tolist())
+    before = 0
+    for a, b, _ in pieces[:-1]:
+        least = max(before, a + overlap) + 1
+        assert b in natural or not natural & set(range(least, a + limit + 1))
+        before = b
+    # and no run more often than its length takes
+    ends = [0, *sorted(natural), len(text)]
+    runs = [(q - p - (overlap if p == 0 else 0), limit - overlap) for p, q in zip(ends, ends[1:])]
+    assert sum(b not in natural for _, b, _ in pieces[:-1]) <= sum(max(0, -(-n // room) - 1) for n, room in runs)
+
+
 CHUNK = "chunk_id long, sdt_id long, processor_type string, start_block_index int, end_block_index int, text string, end_unit string"
 
 
