@@ -7,8 +7,8 @@ lines of the upper one are content regions and main body unless their words say
 the regions is main body only by the evidence of its own words, or, where these are unseen, if it is a part
 of an article (heading, caption, note, formula, ...) beside main body.
 
-What recurs as furniture is learnt from the blocks' own flow class, noisy as it is: a word model, fitted
-on whole trees of a bounded sample.
+What recurs as furniture is learnt from the blocks' own flow class, noisy as it is: stretches and labels
+counted over all trees, and a word model fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ HALO = 16
 UNKNOWN = -1.0
 #: The share of pages on which a label of link lists must stand to be furniture by itself.
 LABEL_SHARE = 0.003
+#: The share of a stretch's blocks labelled furniture above which it counts as such.
+FURNITURE_RATE = 0.2
+#: The share of a label's places with links behind it above which links follow it.
+HEAD_RATE = 0.4
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
@@ -115,6 +119,9 @@ def parse_line(block_type: str | None, text: str) -> tuple[int, int, int, int]:
 
 # ---- the word model
 
+#: First characters of features that are no words.
+_MARKS = ("=", "~", ">", "#")
+
 
 def _weak_label(flow: str | None, block_type: str | None) -> bool:
     """Whether the flow class speaks for furniture; auxiliary captions and notes are part of articles too."""
@@ -142,18 +149,18 @@ def _features(block_type: str | None, text: str) -> set[str]:
     return out
 
 
-def page_features(blocks: list[tuple[str | None, str | None, str | None]]) -> list[tuple[str, int]]:
+def page_features(blocks: list[tuple[str | None, str | None, str | None]], words: bool = True) -> list[tuple[str, int]]:
     """(feature, label) of a page's blocks (flow class, type, text) in order.
 
     Words, '=' stretches and '~' labels are labelled by the block's flow class; '>' and a short block's text
-    by whether links follow it; '#' counts pages.
+    by whether links follow it; '#' counts pages.  Without ``words`` single words are left out.
     """
     out = [("#", 0)]
     for i, (flow, kind, text) in enumerate(blocks):
         if not text:
             continue
         label = int(_weak_label(flow, kind))
-        out += [(f, label) for f in _features(kind, text)]
+        out += [(f, label) for f in _features(kind, text) if words or f[0] in _MARKS]
         if len(text) < 60 and kind in ("heading", "paragraph") and i + 1 < len(blocks):
             _, after, then = blocks[i + 1]
             out.append((">" + unit_key(text), int(bool(then) and _linked_titles(after, then))))
@@ -173,9 +180,9 @@ class Model:
         for feature, n, k in counts:
             rate = (k + 0.1) / (n + 1)
             if feature[0] == ">":
-                self.heads[feature[1:]] = rate > 0.4
+                self.heads[feature[1:]] = rate > HEAD_RATE
                 continue
-            odds = (math.log(rate / (1 - rate)) if rate < 1 else 4.0) - math.log(0.2 / 0.8)
+            odds = (math.log(rate / (1 - rate)) if rate < 1 else 4.0) - math.log(FURNITURE_RATE / (1 - FURNITURE_RATE))
             if feature[0] == "=":
                 self.units[feature[1:]] = odds
             elif feature[0] == "~":
@@ -210,36 +217,39 @@ class Model:
         return 2 * len(known) > len(odds) and sum(known) / len(known) < UNKNOWN
 
 
-def fit(blocks: DataFrame, sample_blocks: int = 100_000, most_features: int = 60_000, least: int = 2) -> Model:
-    """The word model, from whole trees of a bounded sample.
+def fit(blocks: DataFrame, sample_blocks: int = 300_000, most_features: int = 60_000, least: int = 2) -> Model:
+    """The word model: words from a bounded sample; stretches, labels, what follows labels and pages from all blocks.
 
-    ``sample_blocks`` bounds the expected number of labelled blocks that are read (trees are chosen by a
-    hash of their id; of a tree that is chosen, each window of blocks is read by itself),
-    ``most_features`` the number of words and stretches that reach the driver, the most frequent first,
-    and ``least`` is the number of blocks that a feature must stand in.
+    ``sample_blocks`` bounds the expected number of blocks whose words are counted (windows of trees are
+    chosen by a hash), ``most_features`` the number of words, and of all else, that reaches the driver, the
+    most frequent first, and ``least`` is the number of blocks that a feature must stand in.  What the model
+    takes for an unseen one anyway stays behind.
     """
     rows = blocks.count()
     part = min(1.0, sample_blocks / max(rows, 1))
     window = F.floor(F.col("block_index") / WINDOW).cast("int")
     chosen = F.pmod(F.xxhash64("sdt_id", window), F.lit(1_000_003)) < F.lit(int(part * 1_000_003) + 1)
-    sample = blocks.where(chosen).select("sdt_id", window.alias("window"), "block_index", "flow_class", "block_type", "text")
+    told = blocks.select("sdt_id", window.alias("window"), chosen.alias("chosen"), "block_index", "flow_class", "block_type", "text")
 
     def features(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_index").drop_duplicates("block_index")
         page = [(f, k, skeleton(t) if t else t) for f, k, t in zip(pdf["flow_class"], pdf["block_type"], pdf["text"])]
-        return pd.DataFrame(page_features(page), columns=["feature", "flagged"])
+        return pd.DataFrame(page_features(page, bool(pdf["chosen"].iloc[0])), columns=["feature", "flagged"])
 
+    rate = (F.col("k") + 0.1) / (F.col("n") + 1)
+    mark = F.substring("feature", 1, 1)
+    matters = F.when(mark == ">", rate <= HEAD_RATE).when(mark.isin("=", "~"), rate > FURNITURE_RATE).otherwise(True)
     counts = (
-        sample.groupBy("sdt_id", "window")
+        told.groupBy("sdt_id", "window")
         .applyInPandas(features, T.StructType().add("feature", T.StringType()).add("flagged", T.LongType()))
         .groupBy("feature")
-        .agg(F.count("*").alias("n"), F.sum("flagged").alias("k"))
-        .where(F.col("n") >= least)
+        # whether a word: as an aggregate, so that both parts below read one exchange
+        .agg(F.count("*").alias("n"), F.sum("flagged").alias("k"), F.max(~mark.isin(*_MARKS)).alias("word"))
+        .where((F.col("n") >= least) & matters)
         .orderBy(F.desc("n"), "feature")
-        .limit(most_features)
-        .collect()
     )
-    return Model([(r["feature"], r["n"], r["k"]) for r in counts])
+    both = counts.where("word").limit(most_features).unionByName(counts.where("NOT word").limit(most_features))
+    return Model([(r["feature"], r["n"], r["k"]) for r in both.collect()])
 
 
 # ---- one page

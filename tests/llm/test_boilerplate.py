@@ -103,3 +103,23 @@ def test_regions_decide_where_the_words_are_unseen():
     page = [("paragraph", "Zwapp it", False), ("paragraph", "Glimt", False), ("heading", "Vorpal Grintha", True), *[("paragraph", prose(rng), True) for _ in range(4)],
             ("caption", "Quorl", True), ("paragraph", "Small brass bell", True), ("paragraph", "Frobb", False), ("paragraph", "Snerk 7", False), ("paragraph", "Promo", False)]
     assert bp.classify_page([(k, t) for k, t, _ in page], model) == [m for *_, m in page]
+
+
+def test_only_words_are_sampled(spark):
+    rng = random.Random(8)
+    rows, _ = corpus(spark, rng, 120)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    whole, part = bp.fit(frame), bp.fit(frame, sample_blocks=1)
+    assert len(part.words) < len(whole.words) and whole.units and whole.labels and whole.heads
+    assert (part.units, part.labels, part.heads) == (whole.units, whole.labels, whole.heads)
+    # and all but the words is what every block says
+    pages = {}
+    for s, _, _, kind, text, flow, *_ in rows:
+        pages.setdefault(s, []).append((flow, kind, bp.skeleton(text)))
+    n, k = {}, {}
+    for page_ in pages.values():
+        for f, flag in bp.page_features(page_):
+            n[f], k[f] = n.get(f, 0) + 1, k.get(f, 0) + flag
+    full = bp.Model([(f, c, k[f]) for f, c in n.items() if c >= 2])
+    assert part.labels == full.labels and all(part.leads(h) == full.leads(h) for h in full.heads)
+    assert all(part.unit(u) == full.unit(u) for u in full.units)
