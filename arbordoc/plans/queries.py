@@ -55,6 +55,14 @@ def next_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunker.next_chunk(section_chunks(spark, folder), KEY).select(KEY, "start_block_index", "end_block_index", "text")
 
 
+def next_chunks_from(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk at or behind several starts in every tree: its first block and every fifth."""
+    blocks = table(spark, folder, "blocks")
+    starts = blocks.where("block_index % 5 = 0").select(KEY, F.col("block_index").alias("from_block_index"))
+    found = chunker.next_chunk_from(blocks, _entries(spark, folder), starts, KEY)
+    return found.select(KEY, "from_block_index", "start_block_index", "end_block_index", "leaf_block_count", "outline_path", "text")
+
+
 def outline_export(spark: SparkSession, folder: str) -> DataFrame:
     """The entries of every outline that an export keeps."""
     entries = outlines.paths_from_levels(table(spark, folder, "outline"), KEY)
@@ -258,6 +266,7 @@ def pack_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "section_chunks": section_chunks,
     "next_chunks": next_chunks,
+    "next_chunks_from": next_chunks_from,
     "outline_paths": outline_paths,
     "outline_export": outline_export,
     "last_heading": last_heading,

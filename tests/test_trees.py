@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,39 @@ def test_chunks(flat):
     assert chunker.next_chunk(_chunks(flat)).where("doc_id = 'd'").first().start_block_index == 0
 
 
+def test_next_chunk_from_any_block(spark):
+    rng = random.Random(5)
+    blocks, entries, want = [], [], set()
+    for d in range(60):
+        rows = [(d, k, rng.choice(["", "short", "tiny text", LONG, LONG + " more"]), rng.choice([None, None, None, "excluded", "auxiliary"]), rng.randint(1, 3)) for k in range(rng.randint(1, 14))]
+        heads = [(d, o, rng.randrange(len(rows) + 2), f"h{o}") for o in range(rng.randint(0, 5))]
+        blocks, entries = blocks + rows + rows[:1], entries + heads
+        for start in range(-1, len(rows) + 2):
+            at, n = start, len(rows)
+            while 0 <= at < n:
+                while at < n and rows[at][3] == "excluded":
+                    at += 1
+                if at >= n:
+                    break
+                end = min([h[2] for h in heads if h[2] > at] + [n]) - 1
+                end = min(end, n - 1)
+                while end > at and not (rows[end][3] != "excluded" and rows[end][2]):
+                    end -= 1
+                path = max(((h[2], h[1], h[3]) for h in heads if h[2] <= at), default=(0, 0, ""))[2]
+                told = [r for r in rows[at + any(h[2] == at for h in heads) : end + 1] if r[3] != "excluded"]
+                text_ = "\n".join(r[2] for r in told if r[2])
+                if len(text_) >= 30:
+                    want.add((d, start, at, end, sum(r[4] for r in told), path, text_))
+                    break
+                at = end + 1
+    asked = spark.createDataFrame([(d, k) for d in range(60) for k in range(-1, 17)], "doc_id int, from_block_index int")
+    blocks = spark.createDataFrame(blocks, "doc_id int, block_index int, text string, flow_class string, leaf_block_count int")
+    entries = spark.createDataFrame(entries, "doc_id int, ord int, block_index int, outline_path string")
+    out = chunker.next_chunk_from(blocks, entries, asked).drop("page_rects").collect()
+    assert len(out) == len(want) and {tuple(r[c] for c in ("doc_id", "from_block_index", "start_block_index", "end_block_index", "leaf_block_count", "outline_path", "text")) for r in out} == want
+    assert any(start not in (0, at) for _, start, at, *_ in want)
+
+
 def test_outline(flat):
     built = json.loads(outline.export_outline(flat["outline"]).first()["outline"])
     assert built[0]["children"] == [{"title": "Sub", "startRef": "4"}, {"title": "Third", "startRef": "6", "url": "u", "position": {"pageIndex": 1}, "source": "native"}]
