@@ -311,7 +311,7 @@ def candidates(raw: str) -> list[tuple[str, int]]:
 
 @F.pandas_udf(_CANDIDATE)
 def _candidates_udf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda r: [{"word": w, "at": at} for w, at in candidates(r)] if any(c.isalpha() for c in r) and len(r) > 2 else [])
+    return raw.map(lambda r: [{"word": w, "at": at} for w, at in candidates(r)] if any(c.isalpha() for c in r) and len(r) > 1 else [])
 
 
 def _base(raw):

@@ -103,3 +103,9 @@ def test_candidates():
     got = {w for w, _ in sc.candidates("testirnony")}
     assert "testimony" in got and "almost" in {w for w, _ in sc.candidates("almos!")} and "village" in {w for w, _ in sc.candidates("vi11age")}
     assert ("controlled", 0) in sc.candidates("(ontrolled")
+
+
+def test_words_of_two_characters_may_be_misread(spark):
+    stats = spark.createDataFrame([("of", 9, 90), ("in", 9, 90), ("it", 9, 90)], "word string, clean long, total long")
+    suspects = spark.createDataFrame([("0f",), ("1n",), ("lt",), ("of",), ("zq",)], "raw string")
+    assert {r.raw: r.fix for r in sc.misread_words(suspects, stats).collect()} == {"0f": "of", "1n": "in", "lt": "it"}
