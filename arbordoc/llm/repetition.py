@@ -8,9 +8,11 @@ digit is repeated if it stands in
   written without word spaces),
 * a sentence, or a paragraph (line), that occurred earlier as a whole, however short.
 
-Cutoffs come from labelled holdouts: of all cutoffs on a grid, the least whose false-rejection rate (good
-documents at or above the cutoff) is below a limit by an exact binomial bound, at a confidence corrected
-for all cutoffs and strata that were tried.
+Measuring that is the costly part.  A far cheaper score, in the JVM, decides which documents are rejected
+at all: the share of a text's words (character triples in scripts without blanks) that stood in it before.
+Its cutoffs come from labelled holdouts: of all cutoffs on a grid, the least whose false-rejection rate
+(good documents at or above the cutoff) is below a limit by an exact binomial bound, at a confidence
+corrected for all cutoffs and strata that were tried.  An exact check of the rejected documents follows.
 """
 
 from __future__ import annotations
@@ -23,14 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import cut
-
 PHRASE_WORDS = 5
 PHRASE_CHARS = 12
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"[.!?…]+(?!\w)|[。！？｡]+|\n+")
 # First and last code points of scripts written without blanks between words.
-_UNSPACED = re.compile("[฀-໿က-႟ក-៿々-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]")
+_UNSPACED_RANGES = "฀-໿က-႟ក-៿々-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_UNSPACED_RANGES}]")
 
 
 def repeated_units(text: str) -> tuple[int, int]:
@@ -147,64 +148,89 @@ def binomial_upper_bound(bad: int, n: int, delta: float) -> float:
     return high
 
 
-#: Cutoffs on the repeated share that are tried.
-GRID = tuple(k / 60 for k in range(1, 21))
+def seen_before(text: Column) -> Column:
+    """The share of a text's words, by length, that stood in it before; character triples stand for words in scripts without blanks.
+
+    A repeated phrase has no new word, so this is the repeated share or more, but for the edges of triples
+    in scripts without blanks.  Computed in the JVM; 0 for NULL, empty and letterless texts.
+    """
+    dense, spaced = f"[{_UNSPACED_RANGES}]", f"[\\p{{L}}\\p{{N}}&&[^{_UNSPACED_RANGES}]]"
+    unit = f"(?=({dense}{{3}}|(?<!{dense}){dense}{{1,2}}(?!{dense})|(?<!{spaced}){spaced}+))"
+    units = F.regexp_extract_all(F.lower(text), F.lit(unit), F.lit(1))
+    whole = F.length(F.array_join(units, ""))
+    return F.when(whole > 0, 1 - F.length(F.array_join(F.array_distinct(units), "")) / whole).otherwise(F.lit(0.0)).alias("seen_before")
+
+
+def size_stratum(text: Column) -> Column:
+    """The power of four below a text's length: longer texts have fewer new words."""
+    return F.floor(F.log2(F.greatest(F.length(text), F.lit(1))) / 2).cast("int")
+
+
+#: Cutoffs on the score that are tried.
+GRID = tuple(k / 20 for k in range(1, 20))
+#: The share of a stratum's good documents that may be rejected, and so have to be checked.
+LIMIT = 0.3
 
 
 def risk_controlled_cutoffs(
-    holdout: DataFrame, stratum: str, score: str, good: str, grid: tuple = GRID, limit: float = 0.05, delta: float = 0.05, max_strata: int = 512
+    holdout: DataFrame, stratum: str, score: str, good: str, grid: tuple = GRID, limit: float = LIMIT, delta: float = 0.05
 ) -> dict[str, float]:
     """For each stratum, the least cutoff of the grid whose false-rejection rate is certified to be at most ``limit``.
 
     ``good`` is the boolean label of the holdout rows.  Every bound holds at confidence 1 - delta /
     (strata x cutoffs), so that all of them hold together at 1 - delta (Bonferroni).  Strata without a
-    certified cutoff (too few labels) are left out.  Only counts by stratum and cutoff reach the driver,
-    at most ``max_strata`` x cutoffs of them; more strata raise an error.
+    certified cutoff are left out; so are, before they are counted as tried, those with so few labels that
+    no cutoff could be certified.  Only counts by stratum and cutoff reach the driver, for at most the
+    holdout's rows over that number of strata.
     """
+    cutoffs = sorted(grid)
     place = F.lit(0)
-    for c in sorted(grid):
+    for c in cutoffs:
         place = place + (F.col(score) >= F.lit(c)).cast("int")
-    counts = holdout.where(F.col(good)).groupBy(F.col(stratum).alias("s"), place.alias("k")).count().limit(max_strata * (len(grid) + 1) + 1).collect()
-    if len(counts) > max_strata * (len(grid) + 1):
-        raise ValueError(f"more than {max_strata} strata")
-    by: dict[str, dict[int, int]] = {}
-    for r in counts:
-        by.setdefault(r["s"], {})[r["k"]] = r["count"]
+    per = holdout.where(F.col(good)).groupBy(F.col(stratum).alias("s"), place.alias("k")).count()
+    enough = math.ceil(math.log(delta / len(cutoffs)) / math.log1p(-limit))
+    told = per.groupBy("s").agg(F.sum("count").alias("n"), F.collect_list(F.struct("k", "count")).alias("places")).where(F.col("n") >= enough).collect()
     out = {}
-    for s, of in by.items():
-        n = sum(of.values())
-        for k, c in enumerate(sorted(grid), 1):
-            rejected = sum(m for place_k, m in of.items() if place_k >= k)
-            if binomial_upper_bound(rejected, n, delta / (len(by) * len(grid))) <= limit:
-                out[s] = c
+    for r in told:
+        for k, c in enumerate(cutoffs, 1):
+            rejected = sum(p["count"] for p in r["places"] if p["k"] >= k)
+            if binomial_upper_bound(rejected, r["n"], delta / (len(told) * len(cutoffs))) <= limit:
+                out[r["s"]] = c
                 break
     return out
 
 
 def repetitive_documents(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    share: float = 1 / 3, holdout_rows: int = 20_000, limit: float = 0.05, delta: float = 0.05,
+    documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 1 / 3,
+    holdout_rows: int = 20_000, limit: float = LIMIT, delta: float = 0.05, labels: DataFrame | None = None,
 ) -> DataFrame:
     """(key, stratum, cutoff, repeated, total): the documents rejected for repetition, one row each.
 
-    A bounded holdout (``holdout_rows`` rows expected, chosen by a hash of the key) is labelled by the
-    exact rule (good: less than ``share`` is repeated) and gives each language's cutoff; documents at
-    or above it are candidates, and the exact rule then decides on each.  A cutoff is never above
-    ``share``, which is also the cutoff of languages without a certified one, so no document that the
-    rule rejects is lost.  Rows with a NULL key are left out; of repeated keys one row counts.
+    Strata are a text's language and its size.  The holdout, ``holdout_rows`` rows expected, chosen by a
+    hash of the key, is labelled by measuring it (good: less than ``share`` is repeated), or by ``labels``
+    (key, good) if given; it gives each stratum the least cutoff on :func:`seen_before` that is certified
+    to reject at most ``limit`` of the good documents.  Documents at or above their stratum's cutoff are
+    rejected; in strata without a certified cutoff all are.  Of these, and of no others, the repeated share
+    is measured, and those below ``share`` are let go.  A lower limit means higher cutoffs, less to
+    measure, and repetitive documents of varied words lost.
+
+    Rows with a NULL key are left out; of rows with one key each is looked at, and one that is rejected counts.
     """
-    measured = (
-        repetition(documents.where(F.col(key).isNotNull()).select(key, text, lang), key, text)
-        .select(key, language_stratum(F.col(lang)).alias("stratum"), "repeated", "total", "repeated_share")
-    )
-    measured = cut(measured)
-    rows = measured.count()
-    part = min(1.0, holdout_rows / max(rows, 1))
-    chosen = F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.lit(int(part * 1_000_003))
-    holdout = measured.where(chosen).withColumn("good", F.col("repeated_share") < F.lit(share))
-    cutoffs = risk_controlled_cutoffs(holdout, "stratum", "repeated_share", "good", limit=limit, delta=delta)
-    cutoff = F.lit(share)
-    for s, c in cutoffs.items():
-        cutoff = F.when(F.col("stratum") == s, F.lit(min(c, share))).otherwise(cutoff)
-    candidates = measured.withColumn("cutoff", cutoff).where(F.col("repeated_share") >= F.col("cutoff"))
-    return candidates.where((F.col("total") > 0) & (F.col("repeated") >= F.lit(share) * F.col("total") - F.lit(1e-9))).drop("repeated_share").dropDuplicates([key])
+    whole = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    stratum = F.concat_ws("/", language_stratum(F.col("_lang")), size_stratum(F.col("_text")))
+    scored = whole.where("_text IS NOT NULL AND _text <> ''").select("_key", "_text", stratum.alias("stratum"), seen_before(F.col("_text")).alias("score"))
+    if labels is None:
+        part = min(1.0, holdout_rows / max(documents.count(), 1))
+        chosen = F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) < F.lit(int(part * 1_000_003))
+        counts = _repeated_udf(F.col("_text"))
+        holdout = scored.where(chosen).withColumn("_counts", counts).withColumn("good", F.col("_counts.repeated") < F.lit(share) * F.col("_counts.total"))
+    else:
+        holdout = scored.join(labels.select(F.col(key).alias("_key"), "good"), "_key")
+    cutoffs = risk_controlled_cutoffs(holdout, "stratum", "score", "good", limit=limit, delta=delta)
+    cutoff = F.lit(0.0)
+    if cutoffs:
+        known = F.create_map(*(F.lit(x) for pair in sorted(cutoffs.items()) for x in pair))
+        cutoff = F.coalesce(F.element_at(known, F.col("stratum")), cutoff)
+    rejected = scored.withColumn("cutoff", cutoff).where(F.col("score") >= F.col("cutoff"))
+    checked = rejected.select(F.col("_key").alias(key), "stratum", "cutoff", _repeated_udf(F.col("_text")).alias("_counts")).select(key, "stratum", "cutoff", "_counts.*")
+    return checked.where((F.col("total") > 0) & (F.col("repeated") >= F.lit(share) * F.col("total") - F.lit(1e-9))).dropDuplicates([key])

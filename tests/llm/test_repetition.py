@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from arbordoc.llm import repetition as rp
 
 
@@ -59,8 +61,8 @@ def test_cutoffs(spark):
     rng = random.Random(1)
     rows = [("en", rng.random() * 0.2, True) for _ in range(2000)] + [("en", 0.5 + rng.random() / 2, False) for _ in range(300)] + [("xx", 0.0, True)] * 5
     df = spark.createDataFrame(rows, "s string, x double, good boolean")
-    out = rp.risk_controlled_cutoffs(df, "s", "x", "good")
-    assert set(out) == {"en"} and 0.19 <= out["en"] <= 0.22
+    out = rp.risk_controlled_cutoffs(df, "s", "x", "good", limit=0.05)
+    assert out == {"en": 0.2}
     late = rp.risk_controlled_cutoffs(df, "s", "x", "good", limit=0.5)
     assert late["en"] < out["en"]
 
@@ -73,7 +75,7 @@ def test_documents(spark):
             (5, "Gleich. Gleich. Gleich.", "  de ", "c"), (None, "x x x x x x x x x x", "en", "c"), (6, "灯台が港の近くで時計を数えた" * 3, "12", "c")]
     df = spark.createDataFrame(rows + rows[:2], DOCS)
     out = {r.doc_id: r.stratum for r in rp.repetitive_documents(df).collect()}
-    assert out == {1: "en", 5: "de", 6: "und"} and rp.repetitive_documents(df).count() == 3
+    assert out == {1: "en/3", 5: "de/2", 6: "und/2"} and rp.repetitive_documents(df).count() == 3
     shares = {r.doc_id: r.repeated_share for r in rp.repetition(df.drop("total")).collect()}
     assert shares[3] == 0 and shares[4] == 0 and shares[2] == 0 and abs(shares[5] - 2 / 3) < 1e-9
     assert rp.repetitive_documents(df.where("false")).count() == 0
@@ -89,3 +91,37 @@ def test_every_repetitive_document_is_found(spark):
         rows.append((i, " ".join(fresh + again), rng.choice(["en", "de"]), "c"))
     out = {r.doc_id for r in rp.repetitive_documents(spark.createDataFrame(rows, DOCS)).collect()}
     assert out == {r[0] for r in rows if 3 * brute(r[1])[0] >= brute(r[1])[1]}
+
+
+def test_the_certified_cutoffs_decide(spark):
+    """The score is not the repeated share, and what is rejected depends on the limit and on the labels."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        few = [f"w{k}" for k in range(rng.choice([20, 40, 80, 400]))]
+        rows.append((i, " ".join(rng.choice(few) for _ in range(100)), "en", "c"))
+    truth = set()
+    for i in range(900, 960):
+        fresh = [f"x{i}y{k}" for k in range(60)]
+        rows.append((i, " ".join(fresh + fresh[:32]), "en", "c"))
+        truth.add(i)
+    df = spark.createDataFrame(rows, DOCS)
+    found = {limit: {r.doc_id for r in rp.repetitive_documents(df, limit=limit).collect()} for limit in (0.02, 0.6)}
+    assert found[0.6] == truth and found[0.02] < truth
+    cutoffs = {r.cutoff for r in rp.repetitive_documents(df, limit=0.6).collect()}
+    assert all(c > 0 for c in cutoffs)
+    # labels of a stranger's hand: what is good there moves the cutoffs
+    labels = spark.createDataFrame([(i, i < 900) for i in range(960)], "doc_id long, good boolean")
+    assert {r.doc_id for r in rp.repetitive_documents(df, limit=0.6, labels=labels).collect()} == truth
+    none = labels.where("doc_id < 0")
+    assert {r.doc_id for r in rp.repetitive_documents(df, labels=none).collect()} == truth and {r.cutoff for r in rp.repetitive_documents(df, labels=none).collect()} == {0.0}
+
+
+def test_the_score_bounds_the_repeated_share(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["one", "Two,", "three", "ONE", "five.", "Six!", "\n", "2.5"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",), ("!?",)], "text string")
+    for r in df.select("text", rp.seen_before(F.col("text")).alias("s")).collect():
+        repeated, total = rp.repeated_units(r.text or "")
+        assert r.s >= (repeated / total if total else 0) - 1e-9
+    assert df.select(rp.seen_before(F.col("text")).alias("s")).where("s IS NULL OR s < 0 OR s > 1").count() == 0
