@@ -98,7 +98,7 @@ def test_the_certified_cutoffs_decide(spark):
     rng = random.Random(12)
     rows = []
     for i in range(900):
-        few = [f"w{k}" for k in range(rng.choice([20, 40, 80, 400]))]
+        few = [f"w{k}" for k in range(rng.choice([20, 200, 400, 800]))]
         rows.append((i, " ".join(rng.choice(few) for _ in range(100)), "en", "c"))
     truth = set()
     for i in range(900, 960):
