@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.let import let
+
 PHRASE_WORDS = 5
 PHRASE_CHARS = 12
 _WORD = re.compile(r"[^\W_]+")
@@ -154,11 +156,18 @@ def seen_before(text: Column) -> Column:
     A repeated phrase has no new word, so this is the repeated share or more, but for the edges of triples
     in scripts without blanks.  Computed in the JVM; 0 for NULL, empty and letterless texts.
     """
-    dense, spaced = f"[{_UNSPACED_RANGES}]", f"[\\p{{L}}\\p{{N}}&&[^{_UNSPACED_RANGES}]]"
-    unit = f"(?=({dense}{{3}}|(?<!{dense}){dense}{{1,2}}(?!{dense})|(?<!{spaced}){spaced}+))"
-    units = F.regexp_extract_all(F.lower(text), F.lit(unit), F.lit(1))
-    whole = F.length(F.array_join(units, ""))
-    return F.when(whole > 0, 1 - F.length(F.array_join(F.array_distinct(units), "")) / whole).otherwise(F.lit(0.0)).alias("seen_before")
+    low, dense = F.lower(text), f"[{_UNSPACED_RANGES}]"
+    words = lambda t: F.split(t, "[^\\p{L}\\p{N}]+")
+
+    def share(units: Column) -> Column:
+        whole = F.length(F.array_join(units, ""))
+        return F.when(whole > 0, 1 - F.length(F.array_join(F.array_distinct(units), "")) / whole)
+
+    triples = F.regexp_extract_all(low, F.lit(f"(?=({dense}{{3}}))"), F.lit(1))
+    short = F.regexp_extract_all(low, F.lit(f"(?<!{dense})({dense}{{1,2}})(?!{dense})"), F.lit(1))
+    mixed = F.concat(triples, short, words(F.regexp_replace(low, dense, " ")))
+    score = F.when(low.rlike(dense), let(mixed, share)).otherwise(let(words(low), share))
+    return F.coalesce(score, F.lit(0.0)).alias("seen_before")
 
 
 def size_stratum(text: Column) -> Column:

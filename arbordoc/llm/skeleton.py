@@ -18,6 +18,7 @@ Letter case, accents and spelling are untouched.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -115,11 +116,25 @@ def _units(text: str):
                 yield i, p
 
 
+class _Prototypes(dict):
+    """Code points to prototypes, filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = p = prototype(chr(code))
+        return p
+
+
+_PROTOTYPES = _Prototypes({code: chr(code) for code in range(128)})
+#: Invisible characters that may change the picture.
+_CONTEXTUAL = re.compile("[\u200c\u200d\ufe00-\ufe0f\U000e0000-\U000e007f]")
+
+
 def skeleton(text: str) -> str:
     """The comparison key; ordinary blanks at both ends do not count."""
     if text.isascii():
         return text.strip(" ")
-    out = "".join(p for _, p in _units(unicodedata.normalize("NFD", text)))
+    plain = unicodedata.normalize("NFD", text)
+    out = "".join(p for _, p in _units(plain)) if _CONTEXTUAL.search(plain) else plain.translate(_PROTOTYPES)
     return unicodedata.normalize("NFD", out).strip(" ")
 
 
