@@ -22,13 +22,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..cluster import cut
 from .skeleton import skeleton
 
 #: Blocks per window of a tree, and blocks of context on both sides.
 WINDOW = 512
 HALO = 16
+#: Steps of the smoothed ratio per unit; ratios are logarithms, so that a tree has at most some hundred levels.
+LEVELS = 64
+#: The share of pages on which a stretch, or a label that links follow, must stand to be known, besides ``least``.
+UNIT_SHARE = 1e-4
 #: Log-odds of a word that the model has not seen.
 UNKNOWN = -1.0
 #: The share of pages on which a label of link lists must stand to be furniture by itself.
@@ -41,6 +45,7 @@ HEAD_RATE = 0.4
 SIGMA = 1.0
 
 _SEPARATOR = re.compile(r"\s+[•|»›·>/]\s+|\s{2,}|\n")
+_SEPARATED = re.compile(r"[•|»›·>/\n]|\s\s")
 _CLAUSE = re.compile(r"(?<=[.!?;])\s+|\s+[–—-]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(r"^\s*\d+\s*[.)]\s*")
@@ -59,9 +64,14 @@ def unit_key(text: str) -> str:
     return re.sub(r"\d+", "#", " ".join(text.split())).casefold().strip(" .:;,→»›•|·-–—!?")
 
 
+def _parts_of(text: str) -> list[str]:
+    """Items and labels that separators part."""
+    return _SEPARATOR.split(text) if _SEPARATED.search(text) else [text]
+
+
 def stretches(text: str) -> list[str]:
     """The parts of a block's text that may recur by themselves: list items, linked labels, clauses."""
-    return [c for part in _SEPARATOR.split(text) for c in _CLAUSE.split(part) if c and c.strip()]
+    return [c for part in _parts_of(text) for c in _CLAUSE.split(part) if c and c.strip()]
 
 
 def markup(block_type: str | None, text: str) -> str:
@@ -74,7 +84,7 @@ def markup(block_type: str | None, text: str) -> str:
         return f"<{element}>{escape(text)}</{element}>"
 
     def inline(line: str) -> str:
-        parts = [p for p in _SEPARATOR.split(line) if p and p.strip()]
+        parts = [p for p in _parts_of(line) if p and p.strip()]
         if len(parts) > 1:
             return "".join(f"<a>{escape(p)}</a>" for p in parts)
         return escape(line) if _SENTENCE.search(_NUMBERED.sub("", line)) or element != "ul" else f"<a>{escape(line)}</a>"
@@ -87,8 +97,8 @@ def markup(block_type: str | None, text: str) -> str:
 class _Ratio(HTMLParser):
     """Counts of one line's parser events."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def reset(self):
+        super().reset()
         self.tags = self.links = self.chars = self.linked = 0
         self._open = 0
 
@@ -111,10 +121,13 @@ class _Ratio(HTMLParser):
 
 def parse_line(block_type: str | None, text: str) -> tuple[int, int, int, int]:
     """(tags, links, characters, linked characters) of a block, by parser events."""
-    parser = _Ratio()
-    parser.feed(markup(block_type, text))
-    parser.close()
-    return parser.tags, parser.links, parser.chars, parser.linked
+    _PARSER.reset()
+    _PARSER.feed(markup(block_type, text))
+    _PARSER.close()
+    return _PARSER.tags, _PARSER.links, _PARSER.chars, _PARSER.linked
+
+
+_PARSER = _Ratio(convert_charrefs=True)
 
 
 # ---- the word model
@@ -132,7 +145,7 @@ def _linked_titles(block_type: str | None, text: str) -> bool:
     """Whether a text is nothing but short labels without sentences, each a link."""
     if block_type in ("table", "preformatted", "math", "heading"):
         return False
-    parts = [_NUMBERED.sub("", p) for p in _SEPARATOR.split(text) if p and p.strip()]
+    parts = [_NUMBERED.sub("", p) for p in _parts_of(text) if p and p.strip()]
     return (block_type == "list" or len(parts) > 1) and not any(_SENTENCE.search(p) for p in parts)
 
 
@@ -217,39 +230,69 @@ class Model:
         return 2 * len(known) > len(odds) and sum(known) / len(known) < UNKNOWN
 
 
-def fit(blocks: DataFrame, sample_blocks: int = 300_000, most_features: int = 60_000, least: int = 2) -> Model:
+def _pages(blocks: DataFrame) -> DataFrame:
+    return blocks.where("processor_type = 'snapshot' AND sdt_id IS NOT NULL AND block_index IS NOT NULL")
+
+
+def windows_of(pages: DataFrame, *columns: str, halo: int = 0) -> DataFrame:
+    """(sdt_id, window, block_index, *columns): one row per window of a tree, its blocks as arrays in order.
+
+    A window has at most WINDOW blocks and ``halo`` of the next windows on either side.  Repeated rows are
+    one; of unlike rows of one block all are there, side by side, in the order of their columns.
+    """
+    inside, home = F.pmod("block_index", F.lit(WINDOW)), F.floor(F.col("block_index") / WINDOW).cast("int")
+    windows = F.array_compact(F.array(home, F.when((inside < halo) & (home != 0), home - 1), F.when(inside >= WINDOW - halo, home + 1)))
+    rows = pages.select("sdt_id", F.struct("block_index", *columns).alias("b"), F.explode(windows).alias("window"))
+    gathered = rows.groupBy("sdt_id", "window").agg(F.array_sort(F.collect_set("b")).alias("b"))
+    return gathered.select("sdt_id", "window", "b.block_index", *(F.col(f"b.{c}").alias(c) for c in columns))
+
+
+def fit(blocks: DataFrame, sample_blocks: int = 300_000, least: int = 2) -> Model:
     """The word model: words from a bounded sample; stretches, labels, what follows labels and pages from all blocks.
 
     ``sample_blocks`` bounds the expected number of blocks whose words are counted (windows of trees are
-    chosen by a hash), ``most_features`` the number of words, and of all else, that reaches the driver, the
-    most frequent first, and ``least`` is the number of blocks that a feature must stand in.  What the model
-    takes for an unseen one anyway stays behind.
+    chosen by a hash), and with them the number of words.  ``least`` is the number of blocks that a feature
+    must stand in; a stretch, or a label that links follow, must also stand in UNIT_SHARE of the pages, a label
+    of link lists in LABEL_SHARE, which bounds how many of them there can be: the stretches of a page over
+    that share.  What the model takes for an unseen one anyway stays behind.  Windows are counted where they
+    are, so only distinct features are shuffled.
     """
     rows = blocks.count()
     part = min(1.0, sample_blocks / max(rows, 1))
-    window = F.floor(F.col("block_index") / WINDOW).cast("int")
-    chosen = F.pmod(F.xxhash64("sdt_id", window), F.lit(1_000_003)) < F.lit(int(part * 1_000_003) + 1)
-    told = blocks.select("sdt_id", window.alias("window"), chosen.alias("chosen"), "block_index", "flow_class", "block_type", "text")
-
-    def features(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_index").drop_duplicates("block_index")
-        page = [(f, k, skeleton(t) if t else t) for f, k, t in zip(pdf["flow_class"], pdf["block_type"], pdf["text"])]
-        return pd.DataFrame(page_features(page, bool(pdf["chosen"].iloc[0])), columns=["feature", "flagged"])
+    chosen = F.pmod(F.xxhash64("sdt_id", "window"), F.lit(1_000_003)) < F.lit(int(part * 1_000_003) + 1)
+    told = windows_of(blocks, "block_type", "text", "flow_class").withColumn("chosen", chosen)
+
+    def count(batches):
+        n: dict[str, list[int]] = {}
+        for pdf in batches:
+            for index, kinds, texts, flows, words in zip(pdf["block_index"], pdf["block_type"], pdf["text"], pdf["flow_class"], pdf["chosen"]):
+                page = [(f, k, skeleton(t) if t else t) for _, f, k, t in _one_each(index, flows, kinds, texts)]
+                for feature, flag in page_features(page, bool(words)):
+                    c = n.setdefault(feature, [0, 0])
+                    c[0] += 1
+                    c[1] += flag
+            if len(n) > 200_000:
+                yield pd.DataFrame([(f, *c) for f, c in n.items()], columns=["feature", "n", "k"])
+                n = {}
+        yield pd.DataFrame([(f, *c) for f, c in n.items()], columns=["feature", "n", "k"])
 
     rate = (F.col("k") + 0.1) / (F.col("n") + 1)
     mark = F.substring("feature", 1, 1)
-    matters = F.when(mark == ">", rate <= HEAD_RATE).when(mark.isin("=", "~"), rate > FURNITURE_RATE).otherwise(True)
-    counts = (
-        told.groupBy("sdt_id", "window")
-        .applyInPandas(features, T.StructType().add("feature", T.StringType()).add("flagged", T.LongType()))
-        .groupBy("feature")
-        # whether a word: as an aggregate, so that both parts below read one exchange
-        .agg(F.count("*").alias("n"), F.sum("flagged").alias("k"), F.max(~mark.isin(*_MARKS)).alias("word"))
-        .where((F.col("n") >= least) & matters)
-        .orderBy(F.desc("n"), "feature")
+    counted = told.mapInPandas(count, "feature string, n bigint, k bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counted = cut(counted.where(F.col("n") >= least))
+    pages = counted.where("feature = '#'").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    matters = (
+        F.when(mark == ">", (rate <= HEAD_RATE) & (F.col("n") >= UNIT_SHARE * pages))
+        .when(mark == "=", (rate > FURNITURE_RATE) & (F.col("n") >= UNIT_SHARE * pages))
+        .when(mark == "~", (rate > FURNITURE_RATE) & (F.col("n") >= LABEL_SHARE * pages))
+        .otherwise(True)
     )
-    both = counts.where("word").limit(most_features).unionByName(counts.where("NOT word").limit(most_features))
-    return Model([(r["feature"], r["n"], r["k"]) for r in both.collect()])
+    return Model([(r["feature"], r["n"], r["k"]) for r in counted.where(matters).collect()])
+
+
+def _one_each(index, *columns):
+    """The rows of a window's arrays, one per block index: the last of unlike ones."""
+    return list({r[0]: r for r in zip(index, *columns)}.values())
 
 
 # ---- one page
@@ -263,89 +306,140 @@ def _smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel, "valid") / weights
 
 
-def _threshold(values: np.ndarray) -> float:
-    """The border of two clusters of values on a line (2-means from the extremes)."""
-    low, high = float(values.min()), float(values.max())
+def _levels(values: np.ndarray) -> np.ndarray:
+    """Values in whole steps, so that the counts of a tree's windows add up to those of the tree."""
+    return np.rint(values * LEVELS).astype(int)
+
+
+def _border(levels: np.ndarray, counts: np.ndarray) -> float:
+    """The border of two clusters of levels on a line (2-means from the extremes), in units of the ratio."""
+    low, high = float(levels.min()), float(levels.max())
     for _ in range(50):
-        border = (low + high) / 2
-        a, b = values[values <= border], values[values > border]
-        if not len(a) or not len(b):
-            return border
-        if (float(a.mean()), float(b.mean())) == (low, high):
+        lower = levels <= (low + high) / 2
+        if lower.all() or not lower.any():
             break
-        low, high = float(a.mean()), float(b.mean())
-    return (low + high) / 2
+        means = tuple(float(np.average(levels[m], weights=counts[m])) for m in (lower, ~lower))
+        if means == (low, high):
+            break
+        low, high = means
+    return (low + high) / 2 / LEVELS
+
+
+def _threshold(values: np.ndarray) -> float:
+    """The border of two clusters of a whole page's values."""
+    return _border(*np.unique(_levels(values), return_counts=True))
+
+
+class _Page:
+    """A page's blocks (type, text) in order, each with its own evidence and its smoothed ratio."""
+
+    def __init__(self, blocks: list[tuple[str | None, str | None]], model: Model):
+        n = len(blocks)
+        self.blocks, self.model = blocks, model
+        self.own = np.zeros(n, dtype=bool)  # evidence for furniture of the block itself
+        self.titles = np.zeros(n, dtype=bool)  # nothing but short labels without sentences
+        self.blank = np.zeros(n, dtype=bool)
+        self.ratio = np.zeros(n)
+        self.texts = [skeleton(t) if t else "" for _, t in blocks]
+        for i, ((kind, _), text) in enumerate(zip(blocks, self.texts)):
+            if not text.strip():
+                self.blank[i] = True
+                continue
+            tags, links, chars, _ = parse_line(kind, text)
+            linked = self.titles[i] = _linked_titles(kind, text)
+            share, odds = model.read(text, linked) if kind not in ("table", "math", "preformatted") else (0.0, -2.0)
+            sure = 0.5 if share == 0 and kind in ("heading", "caption", "note") else 0.0
+            crumbs = share > 0 and links >= 2 and kind != "list"
+            self.own[i] = share >= 0.5 or odds > sure or crumbs or text.startswith("©") and share + odds > -1
+            self.ratio[i] = math.log1p(chars * (1 - share) / max(tags, 1))
+        self.smooth = _smooth(self.ratio) if n else self.ratio
+
+    def border(self) -> float:
+        return _threshold(self.smooth)
+
+    def under_furniture(self, i: int) -> bool:
+        """Whether the label that a list of links stands under is furniture; a stray short text may come between."""
+        blocks, texts = self.blocks, self.texts
+        for j in range(i - 1, max(i - 4, -1), -1):
+            if self.own[j]:
+                return blocks[j][0] in ("heading", "paragraph") and len(texts[j]) < 60 and self.model.leads(texts[j])
+            if not (self.blank[j] or blocks[j][0] == "paragraph" and len(texts[j]) < 60 and not _SENTENCE.search(texts[j]) or self.titles[j]):
+                return False
+        return False
+
+    def judge(self, border: float) -> tuple[np.ndarray, np.ndarray]:
+        """(main body, content) of each block, if the page has any content at all."""
+        n, own, titles, blank = len(self.blocks), self.own, self.titles, self.blank
+        region = (self.smooth > border) | (self.ratio > border)
+        body = np.zeros(n, dtype=bool)
+        for i, (kind, _) in enumerate(self.blocks):
+            if blank[i] or own[i]:
+                continue
+            if titles[i]:
+                # links in a paragraph are a menu; a list of them is one if numbered, or under a furniture label
+                body[i] = kind == "list" and not _NUMBERED.match(self.texts[i]) and not self.under_furniture(i)
+            else:
+                body[i] = region[i] or self.model.vouches(self.texts[i])
+        # outside the regions, what the words cannot tell follows its neighbours: a heading the text under it, parts
+        # of an article the text on either side; any other line is none of the main body
+        told = np.flatnonzero(~blank)
+        for at in range(len(told) - 1, -1, -1):
+            i = told[at]
+            kind = self.blocks[i][0]
+            if own[i] or titles[i] or body[i] or kind not in _PARTS:
+                continue
+            after = at + 1 < len(told) and body[told[at + 1]]
+            body[i] = after or kind != "heading" and at > 0 and body[told[at - 1]]
+        # blank blocks are main body if the text before or behind them is
+        before, sides = False, np.zeros(n, dtype=bool)
+        for order in (range(n), range(n - 1, -1, -1)):
+            before = False
+            for i in order:
+                if blank[i]:
+                    sides[i] |= before
+                else:
+                    before = bool(body[i])
+        return body | sides, region & body & ~titles
 
 
 def classify_page(blocks: list[tuple[str | None, str | None]], model: Model) -> list[bool]:
     """For each block (type, text) of a page in order, whether it is main body.
 
-    Blank blocks (images among them) are main body if a neighbour is.
+    Blank blocks (images among them) are main body if a neighbour is.  A page without a content region has
+    no main body: what is left there are link lists and their labels.
     """
-    n = len(blocks)
-    if not n:
+    if not blocks:
         return []
-    own = np.zeros(n, dtype=bool)  # evidence for furniture of the block itself
-    ratio = np.zeros(n)
-    titles = np.zeros(n, dtype=bool)  # nothing but short labels without sentences
-    blank = np.zeros(n, dtype=bool)
-    texts = [skeleton(t) if t else "" for _, t in blocks]
-    for i, ((kind, _), text) in enumerate(zip(blocks, texts)):
-        if not text.strip():
-            blank[i] = True
-            continue
-        tags, links, chars, linked = parse_line(kind, text)
-        titles[i] = _linked_titles(kind, text)
-        share, odds = model.read(text, bool(titles[i])) if kind not in ("table", "math", "preformatted") else (0.0, -2.0)
-        sure = 0.5 if share == 0 and kind in ("heading", "caption", "note") else 0.0
-        crumbs = share > 0 and links >= 2 and kind != "list"
-        own[i] = share >= 0.5 or odds > sure or crumbs or text.startswith("©") and share + odds > -1
-        ratio[i] = math.log1p(chars * (1 - share) / max(tags, 1))
-    if not (~blank).any():
-        return [True] * n
-    smooth = _smooth(ratio)
-    border = _threshold(smooth)
-    region = (smooth > border) | (ratio > border)
-    body = np.zeros(n, dtype=bool)
-
-    def under_furniture(i: int) -> bool:
-        """Whether the label that a list of links stands under is furniture; a stray short text may come between."""
-        for j in range(i - 1, max(i - 4, -1), -1):
-            if own[j]:
-                return blocks[j][0] in ("heading", "paragraph") and len(texts[j]) < 60 and model.leads(texts[j])
-            if not (blank[j] or blocks[j][0] == "paragraph" and len(texts[j]) < 60 and not _SENTENCE.search(texts[j]) or titles[j]):
-                return False
-        return False
+    page = _Page(blocks, model)
+    if page.blank.all():
+        return [True] * len(blocks)
+    body, content = page.judge(page.border())
+    return body.tolist() if content.any() else [False] * len(blocks)
 
-    for i, (kind, _) in enumerate(blocks):
-        if blank[i] or own[i]:
-            continue
-        if titles[i]:
-            # links in a paragraph are a menu; a list of them is one if numbered, or under a furniture label
-            body[i] = kind == "list" and not _NUMBERED.match(texts[i]) and not under_furniture(i)
-        else:
-            body[i] = region[i] or model.vouches(texts[i])
-    # outside the regions, what the words cannot tell follows its neighbours: a heading the text under it, parts
-    # of an article the text on either side; any other line is none of the main body
-    told = np.flatnonzero(~blank)
-    for at in range(len(told) - 1, -1, -1):
-        i = told[at]
-        kind = blocks[i][0]
-        if own[i] or titles[i] or body[i] or kind not in _PARTS:
-            continue
-        after = at + 1 < len(told) and body[told[at + 1]]
-        body[i] = after or kind != "heading" and at > 0 and body[told[at - 1]]
-    # a page without a content region has no main body: what is left are link lists and their labels
-    if not (region & body & ~titles).any() or all(titles[i] for i in range(n) if body[i]):
-        body[:] = False
-    for i in np.flatnonzero(blank):
-        before = next((body[j] for j in range(i - 1, -1, -1) if not blank[j]), None)
-        after = next((body[j] for j in range(i + 1, n) if not blank[j]), None)
-        body[i] = bool(before) or bool(after)
-    return body.tolist()
 
+def _borders(windows: DataFrame, model: Model) -> DataFrame:
+    """(sdt_id, window, border): of trees of several windows, the border of the whole tree, once for each of its windows.
+
+    Windows give their smoothed ratios as counted levels; a tree has a bounded number of levels.
+    """
+
+    @F.pandas_udf("array<int>")
+    def levels(window: pd.Series, index: pd.Series, kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for w, i, k, t in zip(window, index, kinds, texts):
+            rows = _one_each(i, k, t)
+            page = _Page([r[1:] for r in rows], model)
+            out.append([int(x) for x, r in zip(_levels(page.smooth), rows) if r[0] // WINDOW == w])
+        return pd.Series(out)
+
+    @F.pandas_udf("double")
+    def border(levels: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([_border(np.asarray(a), np.asarray(c)) for a, c in zip(levels, counts)], dtype="float64")
 
-_OUT = T.StructType().add("sdt_id", T.LongType()).add("block_index", T.IntegerType()).add("main_body", T.BooleanType())
+    seen = windows.select("sdt_id", "window", F.explode(levels("window", "block_index", "block_type", "text")).alias("level"))
+    per = seen.groupBy("sdt_id", "level").agg(F.count("*").alias("n"))
+    told = per.groupBy("sdt_id").agg(F.collect_list(F.struct("level", "n")).alias("l")).select("sdt_id", border("l.level", "l.n").alias("border"))
+    return windows.select("sdt_id", "window").join(told, "sdt_id")
 
 
 def main_body(blocks: DataFrame, model: Model | None = None) -> DataFrame:
@@ -353,18 +447,35 @@ def main_body(blocks: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``blocks`` needs sdt_id, block_index, processor_type, block_type, text and flow_class.  Of several rows
     of one block one counts; rows with a NULL key are left out.  Long trees are read in windows of blocks
-    with context, so no tree has to fit in one task.
+    with context, so no tree has to fit in one task; what is decided by the whole page, the border of the
+    regions and whether there is a content region at all, is gathered from all windows of a tree first.
     """
-    pages = blocks.where("processor_type = 'snapshot' AND sdt_id IS NOT NULL AND block_index IS NOT NULL")
+    pages = _pages(blocks)
     model = model or fit(pages)
-    inside, home = F.pmod("block_index", F.lit(WINDOW)), F.floor(F.col("block_index") / WINDOW).cast("int")
-    windows = F.array_compact(F.array(home, F.when((inside < HALO) & (home > 0), home - 1), F.when(inside >= WINDOW - HALO, home + 1)))
-    rows = pages.select("sdt_id", "block_index", "block_type", "text", F.explode(windows).alias("window"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block_index", "block_type", "text"], na_position="first").drop_duplicates("block_index", keep="last")
-        keep = classify_page([(k, t) for k, t in zip(pdf["block_type"], pdf["text"])], model)
-        out = pd.DataFrame({"sdt_id": key[0], "block_index": pdf["block_index"].to_numpy(), "main_body": keep})
-        return out[out["block_index"] // WINDOW == key[1]]
-
-    return rows.groupBy("sdt_id", "window").applyInPandas(one, _OUT)
+    windows = windows_of(pages, "block_type", "text", halo=HALO)
+    long = pages.where(~F.col("block_index").between(0, WINDOW - 1)).select("sdt_id").distinct()
+    several = not long.isEmpty()
+    if several:
+        borders = cut(_borders(windows_of(pages.join(long, "sdt_id", "left_semi"), "block_type", "text", halo=HALO), model))
+        windows = windows.join(borders, ["sdt_id", "window"], "left")
+    else:
+        windows = windows.withColumn("border", F.lit(None).cast("double"))
+
+    @F.pandas_udf("keep array<boolean>, at array<int>, content boolean, blank boolean")
+    def judge(window: pd.Series, border: pd.Series, index: pd.Series, kinds: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for w, b, i, k, t in zip(window, border, index, kinds, texts):
+            rows = _one_each(i, k, t)
+            page = _Page([r[1:] for r in rows], model)
+            home = [n for n, r in enumerate(rows) if r[0] // WINDOW == w]
+            body, content = page.judge(page.border() if math.isnan(b) else b)
+            out.append((body[home].tolist(), [rows[n][0] for n in home], bool(content[home].any()), bool(page.blank[home].all())))
+        return pd.DataFrame(out, columns=["keep", "at", "content", "blank"])
+
+    told = windows.select("sdt_id", "window", judge("window", "border", "block_index", "block_type", "text").alias("t")).select("sdt_id", "window", "t.*")
+    if several:
+        told = cut(told)
+        trees = told.groupBy("sdt_id").agg(F.max("content").alias("content"), F.min("blank").alias("blank"))
+        told = told.drop("content", "blank").join(trees, "sdt_id")
+    each = told.select("sdt_id", "content", "blank", F.explode(F.arrays_zip("at", "keep")).alias("e"))
+    return each.select("sdt_id", F.col("e.at").alias("block_index"), (F.col("blank") | F.col("content") & F.col("e.keep")).alias("main_body"))

@@ -123,3 +123,36 @@ def test_only_words_are_sampled(spark):
     full = bp.Model([(f, c, k[f]) for f, c in n.items() if c >= 2])
     assert part.labels == full.labels and all(part.leads(h) == full.leads(h) for h in full.heads)
     assert all(part.unit(u) == full.unit(u) for u in full.units)
+
+
+def test_windows_of_a_tree_agree_with_the_whole(spark):
+    rng = random.Random(14)
+    rows, _ = corpus(spark, rng, 80)
+    model = bp.fit(spark.createDataFrame(rows, SCHEMA))
+    trees = {}
+    for s in (900, 901):
+        blocks = []
+        while len(blocks) < 2 * bp.WINDOW + 100:
+            blocks += [(k, t) for k, t, _ in page(rng, article=s == 900)] + ([("image", "")] if rng.random() < 0.3 else [])
+        trees[s] = blocks if s == 900 else [(k, t) for k, t in blocks if k != "heading"]
+    frame = spark.createDataFrame([(s, k, "snapshot", kind, text, None, 0, "c") for s, blocks in trees.items() for k, (kind, text) in enumerate(blocks)], SCHEMA)
+    got = {(r.sdt_id, r.block_index): r.main_body for r in bp.main_body(frame, model).collect()}
+    for s, blocks in trees.items():
+        whole = bp.classify_page(blocks, model)
+        assert [got[s, k] for k in range(len(blocks))] == whole and len(set(whole)) == (2 if s == 900 else 1)
+
+
+def test_without_the_clustering_furniture_is_lost(monkeypatch):
+    """The regions decide rows: with a border that nothing lies below, furniture in unseen words is taken for main body."""
+    rng = random.Random(15)
+    model = bp.Model([("#", 100, 0), *((w, 50, 0) for w in WORDS[:8])])
+    told = [page(rng) + [("paragraph", rng.choice(["Zwapp it", "Glimt 9", "Frobb"]), False) for _ in range(6)] for _ in range(60)]
+    furniture = {(p, k) for p, blocks in enumerate(told) for k, b in enumerate(blocks) if not b[2]}
+
+    def found():
+        return {(p, k) for p, blocks in enumerate(told) for k, keep in enumerate(bp.classify_page([b[:2] for b in blocks], model)) if not keep}
+
+    with_regions = found()
+    monkeypatch.setattr(bp, "_border", lambda levels, counts: float("-inf"))
+    without = found()
+    assert without < with_regions and len(with_regions & furniture) - len(without & furniture) > 0.3 * len(furniture)
