@@ -2,7 +2,8 @@
 
 The mixture is a sequence of slots of equal token size.  Slot k gets the source into whose part of the
 cumulated weights the k-th golden-ratio point falls, so that every stretch of the mixture has the target
-shares as nearly as whole slots allow.  Each source is shuffled (anew for every repetition) and cut in
+shares as nearly as whole slots allow.  A source that its repeat cap keeps below its share gives all it
+may, and the others fill up what it lacks in proportion to their shares.  Each source is shuffled (anew for every repetition) and cut in
 blocks of the slot's size; its r-th block goes to its r-th slot.
 
 Running sums over a source and over the slots are made in two levels, within hash buckets and then over
@@ -54,11 +55,23 @@ def targets_of(targets: DataFrame) -> DataFrame:
     return named.withColumn("share", F.col("share") / F.sum("share").over(Window.partitionBy()))
 
 
-def plan_mixture(sized: DataFrame, targets: DataFrame) -> list[dict]:
-    """Per source with a target: share, repeats, tokens there are, the tokens it gives, and the end of its part of the cumulated shares.
+def fill_up(caps: list[int], shares: list[float], total: float) -> list[int]:
+    """What each source gives of ``total`` tokens: its share, but at most its cap; what is lacking then is shared out among the rest, again by share."""
+    quotas = [0] * len(caps)
+    left, weight = min(total, sum(caps)), sum(shares)
+    # in the order in which sources reach their caps as the total grows
+    for i in sorted(range(len(caps)), key=lambda i: caps[i] / shares[i]):
+        quotas[i] = min(caps[i], int(left * shares[i] / weight))
+        left -= quotas[i]
+        weight -= shares[i]
+    return quotas
 
-    The mixture is as large as the scarcest source allows: total = least of tokens x repeats / share.  A
-    source without documents cannot reach its share; it is left out and the others' shares scaled up.
+
+def plan_mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+    """Per source with a target: share, repeats, tokens there are, the tokens it gives, and the end of its part of the cumulated quotas.
+
+    ``total_tokens`` is the mixture's size, by default that of all documents of sources with a target, and
+    never above what the repeat caps allow.  A source without documents gives nothing.
     Only one row per target reaches the driver (targets are a control table; more than MOST_SOURCES are an error).
     """
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
@@ -66,43 +79,41 @@ def plan_mixture(sized: DataFrame, targets: DataFrame) -> list[dict]:
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} targets")
     rows = sorted((r.asDict() for r in rows if r["tokens"]), key=lambda r: r["source"])
-    whole = sum(r["share"] for r in rows)
-    if not rows:
-        return []
-    total = min(r["tokens"] * r["max_repeats"] * whole / r["share"] for r in rows)
-    high = 0.0
-    for r in rows:
-        r["share"] /= whole
-        r["quota"] = int(total * r["share"])
-        r["high"] = high = high + r["share"]
-    return rows
+    total = sum(r["tokens"] for r in rows) if total_tokens is None else total_tokens
+    quotas = fill_up([r["tokens"] * r["max_repeats"] for r in rows], [r["share"] for r in rows], total)
+    whole, high = max(sum(quotas), 1), 0
+    for r, quota in zip(rows, quotas):
+        r["quota"] = quota
+        high += quota
+        r["high"] = high / whole
+    return [r for r in rows if r["quota"]]
 
 
 def mixture(
     documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    slot_tokens: int = SLOT_TOKENS, seed: int = 17, ranks_path: str = RANKS, bucket: int = BUCKET,
+    total_tokens: int | None = None, slot_tokens: int = SLOT_TOKENS, seed: int = 17, ranks_path: str = RANKS, bucket: int = BUCKET,
 ) -> DataFrame:
     """(slot, position, source, doc_id, use, tokens): the mixture in order; ``use`` counts a document's uses from 0.
 
     Documents stay whole: each goes to the slot in which its first token falls, so a slot's size differs
     from ``slot_tokens`` by less than a document.  A source gives documents until its quota is reached, the
     last one only if that brings it nearer.  Documents without tokens, without a target or with a NULL key
-    are not used; of several rows of a key the one with the least source and text counts.
+    are not used; of unlike rows of a key the one with the least source counts, and of these one, the same
+    whatever the order of rows.  Tokens are counted where the texts are, so no text is shuffled.
     """
     one = documents.where(F.col(key).isNotNull() & (F.col(text) != "") & F.col(source).isNotNull())
-    one = one.groupBy(F.col(key).alias("doc_id")).agg(F.min(F.struct(source_name(F.col(source)).alias("source"), F.col(text).alias("text"))).alias("row"))
-    sized = cut(one.select("doc_id", "row.source", token_count(F.col("row.text"), ranks_path).alias("tokens")).where("tokens > 0"))
-    plan = plan_mixture(sized, targets)
+    one = one.select(F.col(key).alias("doc_id"), source_name(F.col(source)).alias("source"), F.xxhash64(text).alias("digest"), token_count(F.col(text), ranks_path).alias("tokens"))
+    sized = cut(one.groupBy("doc_id").agg(F.min(F.struct("source", "digest", "tokens")).alias("row")).select("doc_id", "row.source", "row.tokens").where("tokens > 0"))
+    plan = plan_mixture(sized, targets, total_tokens)
     spark = documents.sparkSession
     schema = "source string, quota bigint, have bigint, uses int, documents bigint"
     sources = spark.createDataFrame(
-        [(r["source"], r["quota"], r["tokens"], -(-r["quota"] // r["tokens"]) if r["quota"] else 0, r["documents"]) for r in plan], schema
+        [(r["source"], r["quota"], r["tokens"], -(-r["quota"] // r["tokens"]), r["documents"]) for r in plan], schema
     )
 
     # every use of every document, shuffled per use, at its place in the source's stream
     uses = (
         sized.join(sources, "source")
-        .where("uses > 0")
         .withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
         .withColumn("shuffled", F.xxhash64("doc_id", "use", F.lit(seed)))
         .withColumn("bucket", F.col("use") * F.lit(1 << 20) + F.pmod(F.col("shuffled"), F.greatest(F.floor(F.col("documents") / F.lit(bucket)), F.lit(1))))

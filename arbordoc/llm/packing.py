@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..cluster import cut
 from .tokens import RANKS, token_count
 
-#: Tokens that a shard holds on average, and documents that it holds on average, whichever is reached first.
+#: Tokens that a shard holds on average, and documents (or pieces of them) that it holds on average, whichever is reached first.
 SHARD_TOKENS = 4_000_000
 SHARD_DOCUMENTS = 20_000
 #: Capacities are a control table, read by the driver; more of them are an error.
@@ -134,33 +134,37 @@ def pack(
     """(capacity_name, container_id, position, doc_id, piece, first_token, tokens): every document in a container of each capacity.
 
     A document that exceeds the capacity is cut in pieces of the capacity, the last one shorter; no other
-    is.  Documents without tokens and NULL keys have no place; of several rows of a key the one with the
-    least text counts.  Capacities that are NULL or below 1 get no containers; of several capacities of a
-    name the least counts.
+    is.  Documents without tokens and NULL keys have no place; of unlike rows of a key one counts, the
+    same one whatever the order of rows.  Capacities that are NULL or below 1 get no containers; of several
+    capacities of a name the least counts.  Tokens are counted where the texts are, so no text is shuffled.
     """
     sized = (
         documents.where(F.col(key).isNotNull() & (F.col(text) != ""))
-        .groupBy(F.col(key).alias("doc_id"))
-        .agg(F.min(text).alias("text"))
-        .select("doc_id", token_count(F.col("text"), ranks_path).alias("size"))
-        .where("size > 0")
-    )
+        .select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), token_count(F.col(text), ranks_path).alias("size"))
+        .groupBy("doc_id").agg(F.min(F.struct("digest", "size")).alias("one"))
+        .select("doc_id", "one.size").where("size > 0")
+    )
     sized = cut(sized)
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"), F.count("*").alias("n")).first()
-    shards = max(1, -(-total["tokens"] // shard_tokens), -(-total["n"] // shard_documents))
     bounds = capacities.where("capacity_tokens >= 1 AND capacity_name IS NOT NULL").groupBy("capacity_name").agg(F.min("capacity_tokens").alias("capacity"))
     named = sorted((r["capacity_name"], r["capacity"]) for r in bounds.limit(MOST_CAPACITIES + 1).collect())
     if len(named) > MOST_CAPACITIES:
         raise ValueError(f"more than {MOST_CAPACITIES} capacities")
-    kinds = [F.struct(F.lit(n).alias("capacity_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in named]
-    every = F.array(*kinds) if kinds else F.array().cast("array<struct<capacity_name:string,capacity:bigint>>")
+
+    def every(rows: list[tuple], *fields: str):
+        kinds = F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(fields, r))) for r in rows))
+        return kinds.cast("array<struct<" + ",".join(f"{f}:{'string' if f == 'capacity_name' else 'bigint'}" for f in fields) + ">>")
+
+    parts = F.ceil(F.col("size") / F.col("k.capacity"))
+    asked = sized.withColumn("k", F.explode(every(named, "capacity_name", "capacity")))
+    counts = {r[0]: r[1:] for r in asked.groupBy("k.capacity_name").agg(F.sum("size"), F.sum(parts)).collect()}
+    sharded = [(n, c, max(1, -(-counts[n][0] // shard_tokens), -(-counts[n][1] // shard_documents))) for n, c in named if n in counts]
     pieces = (
-        sized.withColumn("_capacity", F.explode(every))
+        sized.withColumn("_capacity", F.explode(every(sharded, "capacity_name", "capacity", "shards")))
         .select("doc_id", "size", "_capacity.*")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), (F.floor((F.col("size") - 1) / F.col("capacity"))).cast("int"))))
         .withColumn("first_token", F.col("piece") * F.col("capacity"))
         .withColumn("tokens", F.least(F.col("capacity"), F.col("size") - F.col("first_token")))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")))
     )
     return pieces.groupBy("capacity_name", "shard").applyInPandas(_pack_shard, _PACKED)
 

@@ -62,7 +62,12 @@ def test_mixture(spark):
         rows += [(len(rows) + i, TEXT * rng.randint(1, 12), s if rng.random() < 0.8 or s is None else s.upper()) for i in range(n)]
     rows += rows[:20] + [(9001, "", "big"), (9002, None, "big"), (None, TEXT, "big")]
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3), (None, 0.4, 1), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mixture(posts(spark, rows), targets, slot_tokens=256, bucket=40).cache()
+    # a mixture that the smallest source can fill its share of
+    enc = tokens.encoding(tokens.RANKS)
+    size = {i: (s.strip().lower(), len(enc.encode_ordinary(t))) for i, t, s in rows if i is not None and t and s}
+    have = {s: sum(n for x, n in size.values() if x == s) for s in ("big", "mid", "small")}
+    total = 3 * have["small"] * 5
+    mixed = mixing.mixture(posts(spark, rows), targets, total_tokens=total, slot_tokens=256, bucket=40).cache()
     report = {r.source: r for r in mixing.share_report(mixed, targets).collect()}
     assert all(abs(r.actual_share - r.target_share) < 0.01 for r in report.values()) and report["small"].most_uses <= 3 and report["big"].most_uses == 1
     per_use = mixed.groupBy("doc_id", "use").count()
@@ -73,8 +78,12 @@ def test_mixture(spark):
     last = mixed.where("source = 'small'").agg(F.max("slot")).first()[0]
     half = {r.source: r.t for r in mixed.where(F.col("slot") < last // 2).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     assert abs(half["big"] / sum(half.values()) - 0.5) < 0.06
-    again = mixing.mixture(posts(spark, rows), targets, slot_tokens=256, bucket=40)
+    again = mixing.mixture(posts(spark, rows), targets, total_tokens=total, slot_tokens=256, bucket=40)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
+    # by default all there is: the small source stops at its cap, the others share out the rest in proportion
+    whole = {r.source: r for r in mixing.share_report(mixing.mixture(posts(spark, rows), targets, slot_tokens=256, bucket=40), targets).collect()}
+    assert whole["small"].tokens == 3 * have["small"] and whole["small"].most_uses == 3 and whole["mid"].most_uses == 2
+    assert abs(whole["big"].tokens / whole["mid"].tokens - 5 / 3) < 0.02 and abs(sum(r.tokens for r in whole.values()) / sum(have.values()) - 1) < 0.01
     assert mixing.mixture(posts(spark, []), targets).count() == 0 and mixing.mixture(posts(spark, rows), targets.where("false")).count() == 0
 
 
@@ -85,3 +94,16 @@ def test_running_sums(spark):
     out = {r.i: r.s for r in mixing.running(df, "g", "b", ["i"], F.col("v"), "s").collect()}
     for g, b, i, _ in rows:
         assert out[i] == sum(v for h, c, j, v in rows if h == g and (c, j) < (b, i))
+
+
+def test_fill_up():
+    assert mixing.fill_up([100, 100, 100], [0.5, 0.3, 0.2], 100) == [50, 30, 20]
+    assert mixing.fill_up([1000, 1000, 5], [0.5, 0.3, 0.2], 100) == [59, 35, 5]
+    assert mixing.fill_up([10, 10, 5], [0.5, 0.3, 0.2], 100) == [10, 10, 5] and mixing.fill_up([], [], 0) == []
+
+
+def test_pieces_of_tiny_capacities_are_spread(spark):
+    caps = spark.createDataFrame([("tiny", 2), ("wide", 100_000)], "capacity_name string, capacity_tokens int")
+    out = packing.pack(posts(spark, [(i, TEXT * 40, "a") for i in range(20)]), caps, shard_documents=500).collect()
+    shards = {n: len({r.container_id >> 32 for r in out if r.capacity_name == n}) for n in ("tiny", "wide")}
+    assert shards["wide"] == 1 and shards["tiny"] >= 10
