@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
 
@@ -46,7 +47,8 @@ SIGMA = 1.0
 
 _SEPARATOR = re.compile(r"\s+[•|»›·>/]\s+|\s{2,}|\n")
 _SEPARATED = re.compile(r"[•|»›·>/\n]|\s\s")
-_CLAUSE = re.compile(r"(?<=[.!?;])\s+|\s+[–—-]\s+")
+_CLAUSE = re.compile(r"\s(?:(?<=[.!?;]\s)|[–—-]\s)")  # between parts, which hold single blanks only
+_DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(r"^\s*\d+\s*[.)]\s*")
 _SENTENCE = re.compile(r"[.!?。！？](?:[\"'”’»)]|\s|$)")
@@ -61,12 +63,13 @@ _ELEMENT = {
 
 def unit_key(text: str) -> str:
     """A stretch of text for counting: lower case, numbers as '#', outer punctuation aside."""
-    return re.sub(r"\d+", "#", " ".join(text.split())).casefold().strip(" .:;,→»›•|·-–—!?")
+    return _DIGITS.sub("#", " ".join(text.split())).casefold().strip(" .:;,→»›•|·-–—!?")
 
 
-def _parts_of(text: str) -> list[str]:
+@lru_cache(maxsize=256)
+def _parts_of(text: str) -> tuple[str, ...]:
     """Items and labels that separators part."""
-    return _SEPARATOR.split(text) if _SEPARATED.search(text) else [text]
+    return tuple(p for p in _SEPARATOR.split(text) if p and p.strip()) if _SEPARATED.search(text) else (text,) if text.strip() else ()
 
 
 def stretches(text: str) -> list[str]:
@@ -84,7 +87,7 @@ def markup(block_type: str | None, text: str) -> str:
         return f"<{element}>{escape(text)}</{element}>"
 
     def inline(line: str) -> str:
-        parts = [p for p in _parts_of(line) if p and p.strip()]
+        parts = _parts_of(line)
         if len(parts) > 1:
             return "".join(f"<a>{escape(p)}</a>" for p in parts)
         return escape(line) if _SENTENCE.search(_NUMBERED.sub("", line)) or element != "ul" else f"<a>{escape(line)}</a>"
@@ -102,6 +105,9 @@ class _Ratio(HTMLParser):
         self.tags = self.links = self.chars = self.linked = 0
         self._open = 0
 
+    def updatepos(self, i, j):
+        return j  # lines and columns are not asked for
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "a":
@@ -145,7 +151,7 @@ def _linked_titles(block_type: str | None, text: str) -> bool:
     """Whether a text is nothing but short labels without sentences, each a link."""
     if block_type in ("table", "preformatted", "math", "heading"):
         return False
-    parts = [_NUMBERED.sub("", p) for p in _parts_of(text) if p and p.strip()]
+    parts = [_NUMBERED.sub("", p) for p in _parts_of(text)]
     return (block_type == "list" or len(parts) > 1) and not any(_SENTENCE.search(p) for p in parts)
 
 
@@ -156,7 +162,7 @@ def _features(block_type: str | None, text: str) -> set[str]:
     mark = "~" if _linked_titles(block_type, text) else "="
     out = {mark + k for k in map(unit_key, stretches(text)) if len(k) > 1}
     if mark == "=":
-        out.update(w.casefold() for w in _WORD.findall(text))
+        out.update(_WORD.findall(text.casefold()))
         if "©" in text:
             out.add("©")
     return out
@@ -220,12 +226,13 @@ class Model:
             total += n
             if self.unit(unit_key(s), linked):
                 boiler += n
-        odds = [] if linked else [self.words.get(w, UNKNOWN) for w in (m.casefold() for m in _WORD.findall(text))]
+        get = self.words.get
+        odds = [] if linked else [get(w, UNKNOWN) for w in _WORD.findall(text.casefold())]
         return (boiler / total if total else 0.0), (sum(odds) / len(odds) if odds else 0.0)
 
     def vouches(self, text: str) -> bool:
         """Whether a text's words are known, most of them, and speak for the main body more than an unknown word does."""
-        odds = [self.words.get(m.casefold()) for m in _WORD.findall(text)]
+        odds = list(map(self.words.get, _WORD.findall(text.casefold())))
         known = [o for o in odds if o is not None]
         return 2 * len(known) > len(odds) and sum(known) / len(known) < UNKNOWN
 
