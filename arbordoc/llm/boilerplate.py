@@ -479,6 +479,7 @@ def main_body(blocks: DataFrame, model: Model | None = None) -> DataFrame:
             out.append((body[home].tolist(), [rows[n][0] for n in home], bool(content[home].any()), bool(page.blank[home].all())))
         return pd.DataFrame(out, columns=["keep", "at", "content", "blank"])
 
+    judge = judge.asNondeterministic()  # else a filter inferred for the explode has every page judged twice
     told = windows.select("sdt_id", "window", judge("window", "border", "block_index", "block_type", "text").alias("t")).select("sdt_id", "window", "t.*")
     if several:
         told = cut(told)
