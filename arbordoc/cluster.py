@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,6 +42,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the session's Python workers this package, wherever they run; once per application."""
     context = spark.sparkContext
@@ -54,7 +62,9 @@ def ship(spark: SparkSession) -> None:
                     if name.endswith(".py"):
                         path = os.path.join(folder, name)
                         out.write(path, os.path.relpath(path, os.path.dirname(root)))
-        path = os.path.join(tempfile.mkdtemp(prefix="arbordoc-"), "arbordoc.zip")
+        aside = tempfile.mkdtemp(prefix="arbordoc-")  # on the driver only; Spark copies it to its own files
+        atexit.register(shutil.rmtree, aside, ignore_errors=True)
+        path = os.path.join(aside, "arbordoc.zip")
         with open(path, "wb") as file:
             file.write(held.getvalue())
         context.addPyFile(path)

@@ -2,10 +2,12 @@
 
 The state of a feed is one row per key: the record that is current, its content hash and what decides
 between records.  It lives in a folder as numbered versions, each a complete Parquet table, and a small
-pointer that names the version in force.  A run reads the state, hashes the records that arrived since,
-joins them with it, and writes its changes and the next version aside; putting the new pointer in place
-is the one atomic step.  A run that dies before that step leaves the old version in force, so the next
-one finds the same changes again: nothing is skipped and nothing is repeated.
+pointer that names the version in force.  A run hashes the records it sees, reduces them to the current
+one of each key, joins these with the state to select the new and the changed, and writes its changes and
+the next version aside; putting the new pointer in place is the one atomic step.  A run that dies before
+that step leaves the old version in force, so the next one finds the same changes again: nothing is
+skipped and nothing is repeated.  A record is told by its key and hash, not by when it came: one that
+turns up late, with an older arrival, is found like any other.
 
 Several runs that are due can be processed together (:func:`advance`): each record is given to the first
 run that sees it, records are pre-aggregated by key and run, and the changes of each run come out with
@@ -14,8 +16,11 @@ its number.  The result is the same as processing the runs one by one.
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import uuid
+from urllib.parse import urlparse
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,26 +104,78 @@ class StateStore:
         return f"attempt-{uuid.uuid4().hex}"
 
     def commit(self, attempt: str, said: dict) -> int:
-        """Puts an attempt's state in force.
+        """Puts an attempt's state in force, and removes the states before the one it replaces.
 
-        The pointer is written under another name and renamed to its number.  A file system refuses to
-        rename onto a name that exists, so of two runs that started from one version only one succeeds.
+        The pointer is written under another name and then given its number, in one step that fails if the
+        number is taken: a hard link on local disks, a rename that does not replace elsewhere.  So of two
+        runs that started from one version only one succeeds.  The folder must be on a file system where
+        such a rename is atomic, as on HDFS; bare object stores have none.
         """
         now = self.current()
         number = (now[0] if now else 0) + 1
         if said.get("from", number - 1) != number - 1:
             raise RuntimeError("another run has committed since this one read its state")
-        aside = self._path(f"{self.folder}/.{attempt}")
-        out = self._fs.create(aside, True)
+        aside, target = f"{self.folder}/.{attempt}", f"{self.folder}/pointer-{number}"
+        out = self._fs.create(self._path(aside), True)
         try:
             out.write(bytearray(json.dumps({**said, "data": attempt}).encode()))
         finally:
             out.close()
-        target = self._path(f"{self.folder}/pointer-{number}")
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
+        if not self._claim(aside, target):
             raise RuntimeError("another run has committed since this one read its state")
+        if number > 2:
+            self._drop_state(number - 2)
         return number
 
+    def _claim(self, aside: str, target: str) -> bool:
+        """Gives a file its final name unless that is taken."""
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(urlparse(aside).path, urlparse(target).path)
+            except FileExistsError:
+                return False
+            self._fs.delete(self._path(aside), False)
+            return True
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(self._path(aside), self._path(target), none)
+        except Exception:
+            if self._fs.exists(self._path(target)):
+                return False
+            raise
+        return True
+
+    def _drop_state(self, number: int) -> None:
+        """Removes the state of a version that nobody reads any more; its changes stay."""
+        stream = self._fs.open(self._path(f"{self.folder}/pointer-{number}"))
+        try:
+            said = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        self._fs.delete(self._path(self.path(said["data"], "state")), True)
+
+    def drop_attempts(self, older_than_seconds: float) -> int:
+        """Removes what runs that died have left, if it is older than any run may take; returns how many attempts."""
+        import time
+
+        kept = set()
+        for number, _ in self._pointers():
+            stream = self._fs.open(self._path(f"{self.folder}/pointer-{number}"))
+            try:
+                kept.add(json.loads(bytes(stream.readAllBytes()).decode())["data"])
+            finally:
+                stream.close()
+        dropped = 0
+        for status in self._fs.listStatus(self._path(self.folder)):
+            name = status.getPath().getName()
+            if name.lstrip(".").startswith("attempt-") and name.lstrip(".") not in kept and status.getModificationTime() / 1000 < time.time() - older_than_seconds:
+                self._fs.delete(status.getPath(), True)
+                dropped += not name.startswith(".")
+        return dropped
+
     def path(self, attempt: str, what: str) -> str:
         return f"{self.folder}/{attempt}/{what}"
 
@@ -128,45 +185,51 @@ def changes(records: DataFrame, state: DataFrame | None, runs: list[tuple[int, i
 
     ``changed`` has (run, key, record, hash): for each run, the keys whose current record's hash differs
     from that at the run before, or that had none.  The next state holds every key's current record after
-    the last run.
+    the last run; keys that the records no longer have keep theirs.
 
-    A key's records are first reduced to the greatest of each run, by a pre-aggregated maximum, so that
-    at most one row per key and run is left to put in order: a key that owns a third of all records is
-    no larger than any other there.
+    A key's records are first reduced to the greatest of each run, by a pre-aggregated maximum, and these
+    joined with the state, so that at most one row per key and run is left to put in order: a key that owns
+    a third of all records is no larger than any other there.
     """
     instants = F.array(*(_instant(t) for _, t in runs))
     at = F.size(F.filter(instants, lambda t: t < F.col("arrived")))
     best = F.struct("rank", "record", "hash")
     fresh = records.where(F.col("arrived") <= _instant(runs[-1][1])).select("key", at.alias("run_at"), best.alias("best"))
-    if state is not None:
-        fresh = fresh.unionByName(state.select("key", F.lit(-1).alias("run_at"), best.alias("best")))
     by_run = fresh.groupBy("key", "run_at").agg(F.max("best").alias("best"))
+    if state is None:
+        joined = by_run.withColumn("old", F.lit(None).cast(by_run.schema["best"].dataType))
+    else:
+        joined = by_run.join(state.select("key", best.alias("old")), "key", "full_outer")
     order = Window.partitionBy("key").orderBy("run_at")
-    so_far = by_run.withColumn("now", F.max("best").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    told = so_far.withColumn("before", F.lag("now").over(order)).withColumn("next_run", F.lead("run_at").over(order))
+    told = joined.withColumn("now", F.greatest("old", F.max("best").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    told = told.withColumn("before", F.coalesce(F.lag("now").over(order), "old")).withColumn("next_run", F.lead("run_at").over(order))
     differs = F.col("before").isNull() | (F.col("before.hash") != F.col("now.hash"))
     numbers = F.array(*(F.lit(n) for n, _ in runs))
-    changed = told.where((F.col("run_at") >= 0) & differs).select(
+    changed = told.where(F.col("run_at").isNotNull() & differs).select(
         F.get(numbers, F.col("run_at")).alias("run"), "key", F.col("now.record").alias("record"), F.col("now.hash").alias("hash")
     )
     return changed, told.where("next_run IS NULL").select("key", "now.rank", "now.record", "now.hash")
 
 
-def advance(store: StateStore, feed: DataFrame, plan: Feed, runs: list[tuple[int, int]], crash: str | None = None) -> DataFrame:
-    """Processes the runs that are due, and returns their changes (run, key, record, hash).
+def advance(
+    store: StateStore, feed: DataFrame, plan: Feed, runs: list[tuple[int, int]], crash: str | None = None, late_seconds: int | None = None
+) -> DataFrame | None:
+    """Processes the runs that are due, and returns their changes (run, key, record, hash), None if no run is due.
 
-    Runs at or before the last committed one are left out; without any, the result is empty.  Changes are
-    written with the state version they belong to, before it is committed, and read from there: whoever
-    reads them sees all or nothing of a commit.  ``crash`` ('written') stops before the commit, for tests.
+    Runs at or before the last committed one are left out.  Changes are written with the state version they
+    belong to, before it is committed, and read from there: whoever reads them sees all or nothing of a
+    commit.  All records that the runs see are compared with the state, however long they have been there;
+    ``late_seconds`` may promise that none turns up later than that after its arrival, so that older ones
+    need not be read.  ``crash`` ('written') stops before the commit, for tests.
     """
     now = store.current()
     since = now[1]["seen"] if now else None
     due = sorted((t, n) for n, t in runs if since is None or t > since)
-    records = plan.records(feed)
     if not due:
-        return records.where("false").select(F.lit(None).cast("int").alias("run"), "key", "record", "hash")
-    if now:
-        records = records.where(F.col("arrived") > _instant(since))
+        return None
+    records = plan.records(feed)
+    if now and late_seconds is not None:
+        records = records.where(F.col("arrived") > _instant(since - late_seconds * 1_000_000))
     changed, state = changes(records, store.read(), [(n, t) for t, n in due])
     attempt = store.prepare()
     changed.write.parquet(store.path(attempt, "changed"))
@@ -188,17 +251,17 @@ def replay(
 ) -> DataFrame:
     """The changes of every run that succeeded, by advancing a state from nothing in ``folder``, ``batch`` runs at a time.
 
-    ``runs`` is a control table: one row per run.  Its succeeded rows are read by the driver (two values
-    each); a batch bounds how many of them a task looks through per record.  A run that did not succeed
-    leaves nothing behind and so is not looked at.
+    ``runs`` has one row per run.  Its succeeded rows pass through the driver a batch at a time (two values
+    each), in order; a batch bounds how many of them a task looks through per record.  A run that did not
+    succeed leaves nothing behind and so is not looked at.
     """
-    rows = runs.where(succeeded).where(F.col(started).isNotNull() & F.col(number).isNotNull()).select(number, F.unix_micros(started)).distinct().collect()
-    due = sorted(((r[1], r[0]) for r in rows))
+    rows = runs.where(succeeded).where(F.col(started).isNotNull() & F.col(number).isNotNull()).select(F.unix_micros(started).alias("t"), F.col(number).alias("n")).distinct()
     store = StateStore(feed.sparkSession, folder)
-    done = None
-    for k in range(0, len(due), batch):
-        changed = advance(store, feed, plan, [(n, t) for t, n in due[k : k + batch]])
-        done = changed if done is None else done.unionByName(changed)
-    if done is None:
-        done = advance(store, feed, plan, [])
-    return done
+    waiting = rows.orderBy("t", "n").toLocalIterator()
+    done = []
+    while part := [(r["n"], r["t"]) for r in itertools.islice(waiting, batch)]:
+        changed = advance(store, feed, plan, part)
+        done += changed.inputFiles() if changed is not None else []
+    if not done:
+        return plan.records(feed).where("false").select(F.lit(None).cast("int").alias("run"), "key", "record", "hash")
+    return feed.sparkSession.read.parquet(*done)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import cut, scratch, table
+from ..cluster import cut, discard, scratch, table
 from ..functions import cfi, deltamap, glyphs
 from ..functions.utf16 import u16_len
 from ..operators import chunker, dom, fulltext, incremental, merge, parts, ranges, retrieval, text
@@ -30,8 +30,11 @@ DELIVERIES = incremental.Feed(
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """What each succeeded run has to process: the trees that are new or changed since the one before."""
-    done = incremental.replay(table(spark, folder, "sdt_feed"), DELIVERIES, table(spark, folder, "runs"), scratch(spark, "feed-state"))
-    return done.select(F.col("run").alias("run_id"), F.col("record").alias("feed_id"))
+    state = scratch(spark, "feed-state")
+    done = incremental.replay(table(spark, folder, "sdt_feed"), DELIVERIES, table(spark, folder, "runs"), state)
+    told = cut(done.select(F.col("run").alias("run_id"), F.col("record").alias("feed_id")))
+    discard(spark, state)
+    return told
 
 
 def outline_paths(spark: SparkSession, folder: str) -> DataFrame:

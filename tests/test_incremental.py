@@ -54,7 +54,7 @@ def test_a_crash_loses_and_repeats_nothing(spark, tmp_path):
         with pytest.raises(RuntimeError):
             inc.advance(store, feed(spark, rows), PLAN, [due], crash="written")
         got += [(r.run, r.record) for r in inc.advance(store, feed(spark, rows), PLAN, [due]).collect()]
-        assert inc.advance(store, feed(spark, rows), PLAN, [due]).count() == 0
+        assert inc.advance(store, feed(spark, rows), PLAN, [due]) is None
     assert sorted(got) == brute(rows, runs)
     assert store.current()[0] == 3
 
@@ -76,3 +76,35 @@ def test_nothing_to_do(spark, tmp_path):
 def test_hash(spark):
     df = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "abc"), ("", "abc")], "x string, y string")
     assert df.select(inc.content_hash("x", "y").alias("h")).distinct().count() == 4
+
+
+def test_a_record_that_lands_late_is_found(spark, tmp_path):
+    store = inc.StateStore(spark, str(tmp_path / "state"))
+    early, late = [(1, 1, 1, 1, "aa", 10), (2, 2, 1, 1, "bb", 10)], (3, 3, 1, 1, "cc", 5)
+    assert {r.record for r in inc.advance(store, feed(spark, early), PLAN, [(1, 20_000_000)]).collect()} == {1, 2}
+    assert [r.record for r in inc.advance(store, feed(spark, [*early, late]), PLAN, [(2, 30_000_000)]).collect()] == [3]
+    # a promise that nothing lands later than that leaves it out, and keys that the feed no longer has stay known
+    older = (4, 4, 1, 1, "dd", 5)
+    assert inc.advance(store, feed(spark, [older]), PLAN, [(3, 40_000_000)], late_seconds=1).count() == 0
+    assert inc.advance(store, feed(spark, early), PLAN, [(4, 50_000_000)]).count() == 0
+
+
+def test_old_states_and_dead_attempts_are_removed(spark, tmp_path):
+    folder = tmp_path / "state"
+    store = inc.StateStore(spark, str(folder))
+    rows = rows_of(random.Random(3), 40)
+    with pytest.raises(RuntimeError):
+        inc.advance(store, feed(spark, rows), PLAN, [(1, 10_000_000)], crash="written")
+    for n in range(1, 5):
+        inc.advance(store, feed(spark, rows), PLAN, [(n, n * 10_000_000)])
+    assert len(list(folder.glob("attempt-*/state"))) == 3 and len(list(folder.glob("attempt-*/changed"))) == 5
+    assert store.drop_attempts(3600) == 0 and store.drop_attempts(-5) == 1
+    assert len(list(folder.glob("attempt-*/state"))) == 2 and store.read().count() > 0
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    store = inc.StateStore(spark, str(tmp_path / "state"))
+    (tmp_path / "state" / "a").write_text("1")
+    (tmp_path / "state" / "b").write_text("2")
+    assert store._claim(f"{store.folder}/a", f"{store.folder}/c") and not store._claim(f"{store.folder}/b", f"{store.folder}/c")
+    assert (tmp_path / "state" / "c").read_text() == "1"
