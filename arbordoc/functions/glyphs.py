@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from itertools import accumulate
 import unicodedata
 
 from pyspark.sql import Column
@@ -86,41 +87,28 @@ def half_up(value: float, digits: int) -> float:
 
 
 def shortest(value: float, error: float) -> float:
-    """The decimal of fewest digits within the error."""
+    """The decimal of fewest digits, 0 to 6, within the error; the value itself if none is."""
     if not _number(value):
         return value
-    for digits in range(7):
-        rounded = half_up(value, digits)
-        if abs(rounded - value) <= error + 1e-9:
-            return rounded
-    return value
+    return next((r for r in (half_up(value, digits) for digits in range(7)) if abs(r - value) <= error + 1e-9), value)
 
 
 def compact(run, error: float = MAX_ERROR):
-    """A run with rounded numbers; what rounding shifts is made good at the next character."""
+    """A run with rounded numbers; what rounding shifts is made good at the next number."""
     if not isinstance(run, list) or len(run) < 6:
         return run
-    out = [*run[:2], *(shortest(v, error) for v in run[2:6])]
-    off = out[2] - run[2]
-
-    def width_of(width: float) -> float:
-        nonlocal off
-        aim = width - off
-        if aim < 0:
-            off, aim = off + aim, 0
+    box = [shortest(v, error) for v in run[2:6]]
+    # gaps and widths one after the other, each with the least it may become
+    numbers = [n for w in run[6:] for n in (((w[0], -math.inf), (w[1], 0)) if isinstance(w, list) else ((w, 0),))]
+
+    def step(last: tuple, number: tuple) -> tuple:
+        aim = max(number[0] - last[1], number[1])
         rounded = shortest(aim, error)
-        off = rounded - aim
-        return rounded
+        return rounded, rounded - aim
 
-    for w in run[6:]:
-        if isinstance(w, list):
-            aim = w[0] - off
-            gap = shortest(aim, error)
-            off = gap - aim
-            out.append([gap, width_of(w[1])])
-        else:
-            out.append(width_of(w))
-    return out
+    written = accumulate(numbers, step, initial=(box[0], box[0] - run[2]))
+    next(written)
+    return [*run[:2], *box, *([next(written)[0], next(written)[0]] if isinstance(w, list) else next(written)[0] for w in run[6:])]
 
 
 def _plain(value):

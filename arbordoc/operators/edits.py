@@ -94,11 +94,20 @@ def _restore(block, ref: tuple, boundaries) -> None:
         bounds[side] = [*r, place - a]
 
 
+def _cut(node: dict, stops: list[int]) -> list[dict]:
+    """A text node as the pieces between stops (ascending, from 0 to its length)."""
+    if len(stops) == 2:
+        return [node]
+    return [_piece(node, a, b) for a, b in zip(stops, stops[1:])]
+
+
 def apply_to_text(tree: dict, block_ref: list[int], start: int, end: int, change: Callable[[dict], dict | None]) -> list[int] | None:
     """Changes the nodes of a block's text units [start, end] (inclusive, either order) in place.
 
-    ``change`` gets each covered node, cut to the stretch, and returns what replaces it; nothing drops a
-    node that is covered whole.  Returns the ref of the first covered node, None if there is none.
+    ``change`` gets each covered node, cut to the stretch, and returns what replaces it; nothing drops it.
+    Returns the ref of the first covered node, None if there is none.  The ref may also name a text node:
+    covered whole, it takes on what replaces it (nothing leaves it as it is); covered in part, it gets its
+    pieces as content; untouched, it stays as it is.
     """
     block = _node_at(tree, block_ref)
     if block is None or not isinstance(start, int) or not isinstance(end, int):
@@ -106,40 +115,52 @@ def apply_to_text(tree: dict, block_ref: list[int], start: int, end: int, change
     start, end = min(start, end), max(start, end)
     ref = tuple(block_ref)
     boundaries = _boundaries(tree, block, ref)
-    state = {"at": 0, "first": None, "split": False}
-
-    def edited(node, here: tuple):
-        if is_text(node):
-            a = state["at"]
-            b = state["at"] = a + py_len(node["text"])
-            if b - 1 < start or a > end:
-                return [node]
-            if a >= start and b - 1 <= end:
-                state["first"] = state["first"] or here
-                result = change(node)
-                return [result] if result else []
-            state["split"] = True
-            out = [_piece(node, 0, start - a)] if a < start else []
-            state["first"] = state["first"] or (*here[:-1], here[-1] + len(out))
-            out.append(change(_piece(node, max(0, start - a), min(b - a, end - a + 1))))
-            if b - 1 > end:
-                out.append(_piece(node, end - a + 1, b - a))
-            return out
-        if isinstance(node, dict) and isinstance(node.get("content"), list):
-            inner: list = []
-            for child in node["content"]:
-                inner += edited(child, (*here, len(inner)))
-            return [{**node, "content": inner}]
-        return [node]
+    touched: list[tuple] = []
+    split = False
+
+    def pieces_of(node: dict, here: tuple, at: int) -> list[dict]:
+        nonlocal split
+        n = py_len(node["text"])
+        covered = (max(0, start - at), min(n, end + 1 - at))
+        if at + n - 1 < start or at > end:
+            return [node]
+        pieces = _cut(node, sorted({0, *covered, n}) if n else [0, 0])
+        split = split or len(pieces) > 1
+        inside = 1 if covered[0] > 0 else 0
+        touched.append((*here[:-1], here[-1] + inside))
+        pieces[inside : inside + 1] = [r for r in [change(pieces[inside])] if r]
+        return pieces
 
-    result = edited(block, ref)
     if is_text(block):
-        block["content"] = result
-        return list(state["first"]) if state["first"] else None
-    block.update(result[0])
-    if state["split"]:
+        result = pieces_of(block, ref, 0)
+        if split:
+            block["content"] = result
+            _restore(block, ref, boundaries)
+        elif touched and result:
+            block.update(result[0])
+        return list(touched[0]) if touched else None
+
+    at = 0
+
+    def walk(node: dict, here: tuple) -> None:
+        nonlocal at
+        inner: list = []
+        for child in node["content"]:
+            place = (*here, len(inner))
+            if is_text(child):
+                inner += pieces_of(child, place, at)
+                at += py_len(child["text"])
+            else:
+                if isinstance(child, dict) and isinstance(child.get("content"), list):
+                    walk(child, place)
+                inner.append(child)
+        node["content"] = inner
+
+    if isinstance(block.get("content"), list):
+        walk(block, ref)
+    if split:
         _restore(block, ref, boundaries)
-    return list(state["first"]) if state["first"] else None
+    return list(touched[0]) if touched else None
 
 
 def edit_trees(trees: DataFrame, requests: DataFrame, change: Callable[[dict, dict], dict | None], key: str = "doc_id", column: str = "tree") -> DataFrame:

@@ -72,6 +72,23 @@ def test_attributes_keep_page_boundaries():
     assert edits.apply_to_text(t, [7], 0, 1, lambda node: node) is None
 
 
+def test_edits_of_a_text_node():
+    bold = lambda node: {**node, "style": {"bold": True}}
+    fresh = lambda: tree([paragraph("Hello", " you")], [[[0, 0, 2], [0, 1]]])
+    t = fresh()
+    assert edits.apply_to_text(t, [0, 0], 0, 9, bold) == [0, 0] and t["content"][0]["content"][0] == {"text": "Hello", "style": {"bold": True}}
+    t = fresh()
+    assert edits.apply_to_text(t, [0, 0], 7, 9, bold) is None and t == fresh()
+    assert edits.apply_to_text(t, [0, 0], 0, 9, lambda node: None) == [0, 0] and t == fresh()
+    edits.apply_to_text(t, [0, 0], 1, 2, bold)
+    assert [c["text"] for c in t["content"][0]["content"][0]["content"]] == ["H", "el", "lo"]
+    json.dumps(t)
+    t = fresh()
+    assert edits.apply_to_text(t, [0], 2, 6, lambda node: None) == [0, 1] and [c["text"] for c in t["content"][0]["content"]] == ["He", "ou"]
+    t = tree([paragraph("")])
+    assert edits.apply_to_text(t, [0], 0, 0, bold) is None and edits.apply_to_text(t, [0, 0], 0, 5, bold) is None
+
+
 def test_edit_trees(spark):
     trees = frame(spark, {"a": tree([paragraph("abcdef")]), "b": tree([paragraph("xyz")])})
     asked = spark.createDataFrame([("a", 1, [0], 1, 2, "bold"), ("a", 2, [0], 4, 4, "italic")], "doc_id string, edit_no int, block_ref array<int>, offset_start int, offset_end int, argument string")
