@@ -12,10 +12,12 @@ their counts by joins of pre-aggregated, distinct words, never by a broadcast of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,23 +101,71 @@ def _alike(a: str, b: str) -> bool:
     return 8 <= len(short) < len(long) and SequenceMatcher(None, short, long[: len(short)], autojunk=False).ratio() >= 0.85
 
 
-def classify_pages(pages: list[tuple[int, str]]) -> list[list[str]]:
-    """For each page (index, text), ascending, the kind of every line: 'blank', 'furniture', 'title' or 'text'."""
-    kinds, edges = [], []
-    for _, text in pages:
-        lines = text.split("\n")
-        kind = ["text" if x.strip() else "blank" for x in lines]
-        full = [i for i, k in enumerate(kind) if k == "text"]
-        kinds.append(kind)
-        found: dict[int, tuple[str, int | None]] = {i: _edge(lines[i]) for i in dict.fromkeys(full[:2] + full[-2:])}
-        edges.append((lines, full, found))
+class _Edges:
+    """The distinct keys of edge lines and the pages on which they, or keys alike, stand."""
+
+    def __init__(self, keys: list[list[str]], indexes: list[int], recurring):
+        self.pages: dict[str, tuple[int, int]] = {k: (a, z) for k, a, z in recurring}
+        for index, on_page in zip(indexes, keys):
+            for k in on_page:
+                a, z = self.pages.get(k, (index, index))
+                self.pages[k] = (min(a, index), max(z, index))
+        self.words: dict[str, list[str]] = {}
+        self.openings: dict[str, list[str]] = {}
+        self.single: list[str] = []
+        for k in self.pages:
+            words = set(k.split())
+            for w in words:
+                self.words.setdefault(w, []).append(k)
+            self.openings.setdefault(k[:7], []).append(k)
+            if len(words) == 1:
+                self.single.append(k)
+        self.spans: dict[str, tuple[int, int]] = {}
+
+    def span(self, key: str) -> tuple[int, int]:
+        """(first, last) page on which a key alike stands; beyond each other if none does."""
+        if key not in self.spans:
+            words = key.split()
+            # only keys with a word in common, the same beginning, or of a single word can be alike
+            near = self.pages if len(words) == 1 else {k for w in words if len(w) > 2 for k in self.words.get(w, ())}.union(self.openings.get(key[:7], ()), self.single)
+            alike = [self.pages[k] for k in near if _alike(key, k)]
+            self.spans[key] = (min((a for a, _ in alike), default=1 << 40), max((z for _, z in alike), default=-(1 << 40)))
+        return self.spans[key]
+
+    def before(self, key: str, index: int) -> bool:
+        return self.span(key)[0] < index
+
+    def later(self, key: str, index: int) -> bool:
+        return self.span(key)[1] > index
+
+    def elsewhere(self, key: str, index: int) -> bool:
+        return self.before(key, index) or self.later(key, index)
+
+
+def _edge_lines(text: str) -> tuple[list[str], list[int], dict[int, tuple[str, int | None]]]:
+    """(lines of a page, the numbers of those that are not blank, what the first two and last two of these say)."""
+    lines = text.split("\n")
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return lines, full, {i: _edge(lines[i]) for i in dict.fromkeys(full[:2] + full[-2:])}
+
+
+def classify_pages(pages: list[tuple[int, str]], recurring=(), in_order=()) -> list[list[str]]:
+    """For each page (index, text), ascending, the kind of every line: 'blank', 'furniture', 'title' or 'text'.
+
+    Of a tree too long to be here whole, ``recurring`` has the edge keys that stand on several of its pages
+    (key, first page, last page), and ``in_order`` by how much its printed numbers run ahead of page indexes.
+    """
+    kinds, edges = [], [_edge_lines(text) for _, text in pages]
+    for lines, full, _ in edges:
+        told = set(full)
+        kinds.append(["text" if i in told else "blank" for i in range(len(lines))])
 
     # numbers that follow the order of pages
     shifts: dict[int, int] = {}
     for (index, _), (_, _, found) in zip(pages, edges):
         for shift in {n - index for _, n in found.values() if n is not None}:
             shifts[shift] = shifts.get(shift, 0) + 1
-    in_order = {s for s, n in shifts.items() if n > 1}
+    in_order = {s for s, n in shifts.items() if n > 1}.union(in_order)
 
     def ends(p: int) -> bool:
         """Whether the text before page p is at the end of a sentence, furniture at that page's foot aside."""
@@ -125,7 +175,7 @@ def classify_pages(pages: list[tuple[int, str]]) -> list[list[str]]:
         body = [i for i in full if kinds[p - 1][i] == "text"]
         return not body or lines[body[-1]].rstrip()[-1:] in ".!?\"”’)"
 
-    keys = [[k for k, _ in found.values() if len(k) > 2] for _, _, found in edges]
+    keys = _Edges([[k for k, _ in found.values() if len(k) > 2] for _, _, found in edges], [index for index, _ in pages], recurring)
     for p, ((index, _), (lines, full, found)) in enumerate(zip(pages, edges)):
         kind = kinds[p]
         longest = max((len(x) for x in lines), default=0)
@@ -140,9 +190,9 @@ def classify_pages(pages: list[tuple[int, str]]) -> list[list[str]]:
                 break
             key = found[i][0]
             line = lines[i].strip()
-            if numbered(i) and (key == "" or len(line) < 0.9 * longest and (any(_alike(key, k) for q in range(len(pages)) if q != p for k in keys[q]) or re.search(r"[|·•]\s*\S+$|\s\.\s\S+$", line))):
+            if numbered(i) and (key == "" or len(line) < 0.9 * longest and (keys.elsewhere(key, index) or re.search(r"[|·•]\s*\S+$|\s\.\s\S+$", line))):
                 kind[i] = "furniture"
-            elif key and len(line) < 0.9 * longest and line[-1:] not in ".!?,;" and any(_alike(key, k) for q in range(len(pages)) if q != p for k in keys[q]):
+            elif key and len(line) < 0.9 * longest and line[-1:] not in ".!?,;" and keys.elsewhere(key, index):
                 kind[i] = "furniture"
         for step, i in enumerate(full[:2]):
             if kind[i] == "furniture":
@@ -165,15 +215,15 @@ def classify_pages(pages: list[tuple[int, str]]) -> list[list[str]]:
                     continue
                 if not key or len(key) < 3:
                     break
-                before = any(_alike(key, k) for q in range(p) for k in keys[q])
-                later = any(_alike(key, k) for q in range(p + 1, len(pages)) for k in keys[q])
+                before = keys.before(key, index)
+                later = keys.later(key, index)
                 if found[i][1] is not None and numbered(i) and len(line) < 0.95 * longest:
                     kind[i] = "furniture"
                 elif index == 0 and p == 0 and not sentence and line[:1].isupper():
                     kind[i] = "title"
                 elif sentence and not before and not later:
                     break
-                elif before and not (sentence and not _repeats(line, p, edges)):
+                elif before and not (sentence and not _repeats(key, p, edges, recurring)):
                     kind[i] = "furniture"
                 elif upper and opens:
                     kind[i] = "title"
@@ -191,27 +241,10 @@ def classify_pages(pages: list[tuple[int, str]]) -> list[list[str]]:
     return kinds
 
 
-def _repeats(line: str, p: int, edges) -> bool:
-    """Whether the very line, case and page number aside, is at the same place of another page."""
-    key = _edge(line)[0]
-    return any(q != p and full and _alike(_edge(lines[full[0]])[0], key) for q, (lines, full, _) in enumerate(edges))
-
-
-_LINE = (
-    T.StructType()
-    .add("sdt_id", T.LongType())
-    .add("page_index", T.IntegerType())
-    .add("line_no", T.IntegerType())
-    .add("kind", T.StringType())
-    .add("text", T.StringType())
-    .add("words", T.ArrayType(T.StringType()))
-    .add("left", T.StringType())
-    .add("right", T.StringType())
-    .add("marked", T.BooleanType())
-    .add("next_page", T.IntegerType())
-    .add("next_line", T.IntegerType())
-    .add("opens", T.BooleanType())
-)
+def _repeats(key: str, p: int, edges, recurring) -> bool:
+    """Whether the very line, case and page number aside, is at the same place of another page, or recurs in the tree."""
+    here = (found[full[0]][0] for q, (_, full, found) in enumerate(edges) if q != p and full)
+    return any(_alike(k, key) for k in here) or any(_alike(k, key) for k, _, _ in recurring)
 
 
 def _raw(token: str) -> str:
@@ -223,70 +256,128 @@ def base_form(raw: str) -> str:
     return raw.strip("!(.,;:?\"'”’)")
 
 
-def _lines_of(pages: list[tuple[int, str]], owned) -> list[tuple]:
-    kinds = classify_pages(pages)
+# What is known of a window of pages: its lines as arrays side by side, each line's word parted at its end (left,
+# right, marked) and at the end of the line before (in_left, ...), and its distinct words with the lines they are in.
+_WINDOW = (
+    "sdt_id bigint, window int, page array<int>, line array<int>, kind array<string>, text array<string>, left array<string>, right array<string>, "
+    "marked array<boolean>, in_left array<string>, in_right array<string>, in_marked array<boolean>, opens array<boolean>, "
+    "raw array<string>, count array<int>, places array<array<int>>"
+)
+
+
+def read_window(pages: list[tuple[int, str]], owned, recurring=(), in_order=()) -> tuple[list[list], dict[str, list[int]]]:
+    """(lines, words) of the owned ones among some pages (index, text), ascending.
+
+    A line is [page, line, kind, text, left, right, marked, in_left, in_right, in_marked, opens]; ``words``
+    has for each word as it was read the numbers of the lines it stands in, once per time.  A word parted
+    by a hyphen is in neither line; of line ends without a hyphen the two words beside are pairs as well.
+    """
+    kinds = classify_pages(pages, recurring, in_order)
     flow: list[tuple[int, int, str] | None] = []
-    out = []
+    lines: list[list] = []
     for (index, text), kind in zip(pages, kinds):
         for no, (line, k) in enumerate(zip(text.split("\n"), kind)):
-            if k == "text":
-                flow.append((index, no, line))
-            elif k == "title":
-                flow.append(None)
+            flow += [(index, no, line)] if k == "text" else [None] if k == "title" else []
             if k != "text" and owned(index):
-                out.append((index, no, k, line, None, None, None, None, None, None, None))
-    taken = False  # whether the first word of this line belongs to the one before
-    gap: dict[int, set[int]] = {}
-    for (index, _), kind in zip(pages, kinds):
-        gap[index] = {no for no, k in enumerate(kind) if k == "blank"}
+                lines.append([index, no, k, line, *[None] * 7])
+    words: dict[str, list[int]] = {}
+    blank = {index: {no for no, k in enumerate(kind) if k == "blank"} for (index, _), kind in zip(pages, kinds)}
+    coming = (None, None, None)  # the pair at the end of the line before
     for at, item in enumerate(flow):
         if item is None:
-            taken = False
+            coming = (None, None, None)
             continue
         index, no, line = item
         tokens = line.split()
         after = flow[at + 1] if at + 1 < len(flow) else None
-        start = 1 if taken else 0
-        opens = line[:1] == " " or no - 1 in gap[index] and at > 0 and flow[at - 1] is not None and flow[at - 1][0] == index or at > 0 and flow[at - 1] is None
-        left = right = marked = next_page = next_line = None
-        taken = False
+        before = flow[at - 1] if at else None
+        opens = line[:1] == " " or no - 1 in blank[index] and before is not None and before[0] == index or at > 0 and before is None
+        start = 1 if coming[2] else 0  # the first word belongs to the line before
+        pair = (None, None, None)
         if after and tokens and after[2].split():
             last, first = tokens[-1], after[2].split()[0]
-            is_marked = len(last) > 1 and last[-1] in MARKS and last[-2].isalnum() or len(last) > 1 and last[-1] in MARKS and last[-2] in "€!(ſ"
-            if is_marked or (last[-1].isalpha() and first[:1].islower() and len(tokens) > start):
-                left, right = _raw(last.rstrip(MARKS) if is_marked else last), _raw(first)
-                marked, next_page, next_line = is_marked, after[0], after[1]
-                taken = is_marked
-        words = [_raw(t) for t in tokens[start : len(tokens) - (1 if marked else 0)]]
+            marked = len(last) > 1 and last[-1] in MARKS and (last[-2].isalnum() or last[-2] in "€!(ſ")
+            if marked or (last[-1].isalpha() and first[:1].islower() and len(tokens) > start):
+                pair = (_raw(last.rstrip(MARKS) if marked else last), _raw(first), marked)
         if owned(index):
-            out.append((index, no, "text", line, [w for w in words if w], left, right, marked, next_page, next_line, opens))
-    return out
+            for t in tokens[start : len(tokens) - (1 if pair[2] else 0)]:
+                if w := _raw(t):
+                    words.setdefault(w, []).append(len(lines))
+            lines.append([index, no, "text", line, *pair, *coming, opens])
+        coming = pair
+    return lines, words
 
 
-def _window_lines(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    sdt, window = key
-    pdf = pdf.sort_values("page_index")
-    pages = list(zip(pdf["page_index"].astype(int), pdf["text"]))
-    rows = _lines_of(pages, lambda index: index // WINDOW == window)
-    return pd.DataFrame([(sdt, *r) for r in rows], columns=_LINE.names)
+def _pages_of(held: list[dict]) -> list[tuple[int, str]]:
+    """Pages in order, one text of each."""
+    one: dict[int, str] = {}
+    for p in held:
+        index, text = p["page_index"], p["text"]
+        one[index] = min(one.get(index, text), text)
+    return sorted(one.items())
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """Every line of the pages (sdt_id, page_index, text), classified; running-text lines with their words.
+def _gathered(pages: DataFrame) -> DataFrame:
+    """(sdt_id, window, pages): the pages (page_index, text) of each window, with HALO pages of context."""
+    inside = F.pmod("page_index", F.lit(WINDOW))
+    home = F.floor(F.col("page_index") / WINDOW).cast("int")
+    windows = F.array_compact(F.array(home, F.when((inside < HALO) & (home != 0), home - 1), F.when(inside >= WINDOW - HALO, home + 1)))
+    rows = pages.select("sdt_id", F.struct("page_index", "text").alias("p"), F.explode(windows).alias("window"))
+    return rows.groupBy("sdt_id", "window").agg(F.collect_set("p").alias("pages"))
+
+
+def _tree_edges(windows: DataFrame) -> DataFrame:
+    """(sdt_id, window, recurring, in_order) for each of the windows: what stands at the page edges of the whole tree.
 
-    A word parted at a line end is taken out of both lines and given as ``left`` and ``right``; for ends
-    without a hyphen the two words beside the line end are given, and stay in the lines too.
-    Of pages with one (sdt_id, page_index) one text counts; NULL texts have no lines.
+    A key is sent on only if it stands on several pages, a shift of the numbers only if several pages have it.
+    """
+
+    def told(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for index, text in _pages_of(r["pages"]):
+                    if index // WINDOW == r["window"]:
+                        found = _edge_lines(text)[2].values()
+                        rows += [(r["sdt_id"], index, k, None) for k, _ in found if len(k) > 2]
+                        rows += [(r["sdt_id"], index, None, n - index) for n in {n for _, n in found if n is not None}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.string(), pa.int32()))], ["sdt_id", "page", "key", "shift"])
+
+    seen = windows.mapInArrow(told, "sdt_id bigint, page int, key string, shift int")
+    several = seen.groupBy("sdt_id", "key", "shift").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last")
+    keys = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "first", "last")))
+    trees = several.groupBy("sdt_id").agg(keys.alias("recurring"), F.collect_list("shift").alias("in_order"))
+    return windows.select("sdt_id", "window").join(trees, "sdt_id")
+
+
+def page_windows(pages: DataFrame) -> DataFrame:
+    """The lines of the pages (sdt_id, page_index, text), classified, one row per window of a tree.
+
+    Of pages with one (sdt_id, page_index) one text counts; NULL keys and texts have no lines.  A tree of
+    several windows tells each of them what recurs at its page edges.
     """
     whole = pages.where("text IS NOT NULL AND sdt_id IS NOT NULL AND page_index IS NOT NULL")
-    one = whole.groupBy("sdt_id", "page_index").agg(F.min("text").alias("text"))
-    inside = F.pmod("page_index", F.lit(WINDOW))
-    home = F.floor(F.col("page_index") / WINDOW).cast("int")
-    windows = F.array_compact(
-        F.array(home, F.when((inside < HALO) & (home > 0), home - 1), F.when(inside >= WINDOW - HALO, home + 1))
-    )
-    spread = one.withColumn("window", F.explode(windows))
-    return spread.groupBy("sdt_id", "window").applyInPandas(_window_lines, _LINE)
+    windows = _gathered(whole)
+    long = whole.where(~F.col("page_index").between(0, WINDOW - 1)).select("sdt_id").distinct()
+    if long.isEmpty():
+        windows = windows.select("*", F.lit(None).cast("array<struct<key:string,first:int,last:int>>").alias("recurring"), F.lit(None).cast("array<int>").alias("in_order"))
+    else:
+        windows = windows.join(cut(_tree_edges(_gathered(whole.join(long, "sdt_id", "left_semi")))), ["sdt_id", "window"], "left")
+
+    def read(batches):
+        kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+        types = [pa.int64(), pa.int32(), *(pa.list_(t) for t in kinds), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+        names = [f.split()[0] for f in _WINDOW.split(", ")]
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                recurring = [tuple(k.values()) for k in r["recurring"] or ()]
+                lines, words = read_window(_pages_of(r["pages"]), lambda index, w=r["window"]: index // WINDOW == w, recurring, r["in_order"] or ())
+                columns = map(list, zip(*lines)) if lines else [[]] * len(kinds)
+                rows.append((r["sdt_id"], r["window"], *columns, list(words), [len(x) for x in words.values()], [list(dict.fromkeys(x)) for x in words.values()]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return windows.mapInArrow(read, _WINDOW)
 
 
 _CANDIDATE = T.ArrayType(T.StructType().add("word", T.StringType()).add("at", T.IntegerType()))
@@ -314,13 +405,23 @@ def _candidates_udf(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: [{"word": w, "at": at} for w, at in candidates(r)] if any(c.isalpha() for c in r) and len(r) > 1 else [])
 
 
+_candidates_udf = _candidates_udf.asNondeterministic()  # else a filter inferred for the explode has it run twice
+
+
 def _base(raw):
     return F.regexp_replace(raw, "^[!(.,;:?\"'”’)]+|[!(.,;:?\"'”’)]+$", "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _clean_words(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [w for w in map(_raw, t.split()) if w])
+def _count_words(batches):
+    """(raw, count) of the words of texts, counted where the texts are."""
+    counts: Counter = Counter()
+    for pdf in batches:
+        for text in pdf["text"]:
+            counts.update(map(_raw, text.split()))
+        if len(counts) > 200_000:
+            yield pd.DataFrame(counts.items(), columns=["raw", "count"])
+            counts.clear()
+    yield pd.DataFrame(counts.items(), columns=["raw", "count"])
 
 
 def misread_words(suspects: DataFrame, stats: DataFrame) -> DataFrame:
@@ -343,39 +444,38 @@ def misread_words(suspects: DataFrame, stats: DataFrame) -> DataFrame:
     return by_word.unionByName(by_look).groupBy("raw").agg(F.coalesce(F.min(F.when(F.col("fix").isNotNull(), F.col("at"))), F.min("at")).alias("at"), F.max("fix").alias("fix"))
 
 
-def repair_lines(pages: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines, fixes): the lines of :func:`page_lines` with ``broken`` and ``misread`` decided, and per line what was misread.
+def repair_windows(pages: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """The windows of :func:`page_windows` with ``read``, the misread words (raw, fix) in them, and ``parted``, what is decided of pairs at line ends.
 
-    ``fixes`` has (sdt_id, page_index, line_no, raw, fix).  ``vocabulary`` (text) is text that was never
-    scanned; its words are taken as right.
+    ``vocabulary`` (text) is text that was never scanned; its words are taken as right.  Words and pairs are
+    decided once each; windows meet the decisions by their distinct words and pairs, so that no common
+    word is more than one row per window.
     """
-    lines = cut(page_lines(pages))
-    text = lines.where("kind = 'text'")
-    said = text.select(F.explode("words").alias("raw")).groupBy("raw").count()
-    scanned = said.select(_base(F.col("raw")).alias("word"), F.col("count").alias("total"), F.lit(0).cast("bigint").alias("clean"))
+    held = cut(page_windows(pages))
+    said = held.select(F.explode(F.arrays_zip("raw", "count")).alias("w")).select("w.*")
+    counted = said.select(_base(F.col("raw")).alias("word"), F.col("count").cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("clean"))
     if vocabulary is not None:
-        words = vocabulary.where("text IS NOT NULL").select(F.explode(_clean_words("text")).alias("raw")).groupBy("raw").count()
-        scanned = scanned.unionByName(words.select(_base(F.col("raw")).alias("word"), F.col("count").alias("total"), F.col("count").alias("clean")))
-    stats = cut(scanned.where("word <> ''").groupBy("word").agg(F.sum("total").alias("total"), F.sum("clean").alias("clean")))
-
-    # words parted at line ends, each distinct pair once
-    pairs = text.where("left IS NOT NULL").select("left", "right", "marked").distinct()
-    shapes = {
-        "joined": F.concat("left", "right"),
-        "hyphened": F.concat("left", F.lit("-"), "right"),
-        "left": F.col("left"),
-        "right": F.col("right"),
-    }
-    forms = pairs.select(
-        "left", "right", "marked", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), _base(v).alias("word")) for k, v in shapes.items()))).alias("f")
-    ).select("left", "right", "marked", "f.*")
-    counted = forms.join(stats, "word", "left").groupBy("left", "right", "marked")
-    known = counted.agg(
-        *(F.max(F.when(F.col("what") == k, F.coalesce("total", F.lit(0)))).alias(k + "_n") for k in shapes),
-        *(F.max(F.when(F.col("what") == k, F.coalesce("clean", F.lit(0)))).alias(k + "_clean") for k in ("left", "right")),
-    )
+        words = vocabulary.where("text IS NOT NULL").select("text").mapInPandas(_count_words, "raw string, count bigint")
+        counted = counted.unionByName(words.select(_base(F.col("raw")).alias("word"), F.col("count").alias("total"), F.col("count").alias("clean")))
+    stats = cut(counted.where("word <> ''").groupBy("word").agg(F.sum("total").alias("total"), F.sum("clean").alias("clean")))
+
+    # pairs at line ends, each distinct one once
+    ends = F.arrays_zip(F.col("left").alias("left"), F.col("right").alias("right"), F.col("marked").alias("marked"))
+    starts = F.arrays_zip(F.col("in_left").alias("left"), F.col("in_right").alias("right"), F.col("in_marked").alias("marked"))
+    here = held.select("sdt_id", "window", F.explode(F.array_union(ends, starts)).alias("p")).where("p.left IS NOT NULL").select("sdt_id", "window", "p.*")
     joined = F.concat("left", "right")
-    read = cut(misread_words(known.select(joined.alias("raw")).where("marked").unionByName(said.select("raw")), stats))
+    pairs = here.select("left", "right", "marked").distinct().withColumn("joined", joined).withColumn("word", _base(joined))
+    # without a hyphen, only pairs whose joined word is known come into question
+    likely = pairs.join(stats.select("word", F.col("total").alias("joined_n")), "word", "left").where("marked OR joined_n > 2").drop("word")
+    likely = cut(likely.withColumn("joined_n", F.coalesce("joined_n", F.lit(0))))
+    shapes = {"hyphened": F.concat("left", F.lit("-"), "right"), "left": F.col("left"), "right": F.col("right")}
+    forms = likely.withColumn("f", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), _base(v).alias("word")) for k, v in shapes.items())))).withColumn("word", F.col("f.word"))
+    counts = forms.join(stats, "word", "left").groupBy("left", "right", "marked", "joined", "joined_n")
+    known = counts.agg(
+        *(F.max(F.when(F.col("f.what") == k, F.coalesce("total", F.lit(0)))).alias(k + "_n") for k in shapes),
+        *(F.max(F.when(F.col("f.what") == k, F.coalesce("clean", F.lit(0)))).alias(k + "_clean") for k in ("left", "right")),
+    )
+    read = cut(misread_words(likely.where("marked").select(F.col("joined").alias("raw")).unionByName(said.select("raw")), stats))
     unreal = lambda side: (F.col(side + "_clean") == 0) & (5 * F.col(side + "_n") < F.col("joined_n"))
     marked = (
         F.when((F.col("joined_n") > 0) & (F.col("joined_n") >= F.col("hyphened_n")), True)
@@ -386,39 +486,53 @@ def repair_lines(pages: DataFrame, vocabulary: DataFrame | None = None) -> tuple
         .otherwise(True)
     )
     judged = (
-        known.withColumn("joined", joined)
-        .join(read.select(F.col("raw").alias("joined"), F.col("at").alias("joined_at"), F.col("fix").alias("joined_fix")), "joined", "left")
-        .withColumn("parted", F.when(F.col("marked"), marked).otherwise((F.col("joined_n") > 2) & (unreal("left") | unreal("right"))))
+        known.join(read.select(F.col("raw").alias("joined"), F.col("at").alias("joined_at"), F.col("fix").alias("joined_fix")), "joined", "left")
+        .withColumn("parted", F.when(F.col("marked"), marked).otherwise(unreal("left") | unreal("right")))
         .where("marked OR parted")
         .select("left", "right", "marked", "parted", "joined", "joined_fix", F.when(F.col("parted"), F.col("joined_at")).alias("joined_at"))
     )
 
-    at = ["sdt_id", "page_index", "line_no"]
-    ends = text.where("left IS NOT NULL").select(*at, "left", "right", "marked", "next_page", "next_line").join(judged, ["left", "right", "marked"])
-    here = F.struct("page_index", "line_no", F.col("left").alias("raw"))
-    there = F.struct(F.col("next_page").alias("page_index"), F.col("next_line").alias("line_no"), F.col("right").alias("raw"))
-    halves = ends.withColumn("h", F.explode(F.array(here, there))).select("sdt_id", "h.*", "marked", "parted")
-
-    # words misread as a whole: those in the lines but for parts of words, and both sides of a hyphen that stays
-    spoken = text.select(*at, F.explode("words").alias("raw")).join(read.select("raw"), "raw", "left_semi")
-    spoken = spoken.join(halves.where("NOT marked AND parted").select(*at, "raw"), [*at, "raw"], "left_anti")
-    whole = spoken.unionByName(halves.where("marked AND NOT parted").select("raw", *at)).join(read.select("raw", "fix"), "raw")
-    # words misread on one side of a line end
-    first = F.col("joined_at") < F.length("left")
-    split = ends.where("joined_at IS NOT NULL").select(
-        F.col("joined").alias("raw"), "sdt_id", F.when(first, F.col("page_index")).otherwise(F.col("next_page")).alias("page_index"),
-        F.when(first, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.col("joined_fix").alias("fix"),
-    )
-    fixes = whole.select(*at, "raw", "fix").unionByName(split.select(*at, "raw", "fix")).distinct()
-    wrong = fixes.select(*at).distinct().withColumn("misread", F.lit(True))
-    broken = ends.where("parted").select(*at, F.lit(True).alias("broken"))
-    told = lines.join(broken, at, "left").join(wrong, at, "left")
-    return told.withColumns({"broken": F.coalesce("broken", F.lit(False)), "misread": F.coalesce("misread", F.lit(False))}), fixes
+    # back to the windows
+    own = held.select("sdt_id", "window", F.explode(F.array_distinct(F.concat("raw", F.filter(F.concat("left", "right"), lambda w: w.isNotNull())))).alias("raw"))
+    wrong = own.join(read.select("raw", "fix"), "raw").select("sdt_id", "window", F.struct("raw", "fix").alias("read"), F.lit(None).alias("pair"))
+    decided = here.join(judged, ["left", "right", "marked"]).select(
+        "sdt_id", "window", F.lit(None).alias("read"), F.struct("left", "right", "marked", "parted", "joined", "joined_fix", "joined_at").alias("pair")
+    )
+    told = wrong.unionByName(decided).groupBy("sdt_id", "window").agg(F.collect_list("read").alias("read"), F.collect_list("pair").alias("parted"))
+    return held.join(told, ["sdt_id", "window"], "left")
+
+
+def line_verdicts(row: dict) -> tuple[list[bool], list[list[tuple[str, str | None]]]]:
+    """(broken, misread words with their fixes) of each line of a window of :func:`repair_windows`."""
+    read = {r["raw"]: r["fix"] for r in row["read"] or ()}
+    pairs = {(p["left"], p["right"], p["marked"]): p for p in row["parted"] or ()}
+    n = len(row["page"])
+    broken, fixes = [False] * n, [{} for _ in range(n)]
+    ends = [pairs.get(k) for k in zip(row["left"], row["right"], row["marked"])]
+    starts = [pairs.get(k) for k in zip(row["in_left"], row["in_right"], row["in_marked"])]
+    if read:
+        for raw, places in zip(row["raw"], row["places"]):
+            if raw in read:
+                for i in places:
+                    # halves of a word parted without a hyphen are no words
+                    half = ends[i] and not ends[i]["marked"] and ends[i]["left"] == raw or starts[i] and not starts[i]["marked"] and starts[i]["right"] == raw
+                    if not half:
+                        fixes[i][raw] = read[raw]
+    for i, (end, start) in enumerate(zip(ends, starts)):
+        broken[i] = bool(end) and end["parted"]
+        for pair, side in ((end, "left"), (start, "right")):
+            if not pair:
+                continue
+            if pair["marked"] and not pair["parted"] and pair[side] in read:
+                fixes[i][pair[side]] = read[pair[side]]
+            if pair["joined_at"] is not None and (pair["joined_at"] < len(pair["left"])) == (side == "left"):
+                fixes[i][pair["joined"]] = pair["joined_fix"]
+    return broken, [list(f.items()) for f in fixes]
 
 
 def _scanned(page_info: DataFrame) -> tuple[DataFrame, DataFrame]:
     scanned = page_info.where("text_source = 'ocr'").select("sdt_id", "page_index", "text")
-    digital = page_info.where("coalesce(text_source, '') <> 'ocr' AND text IS NOT NULL").select("text").distinct()
+    digital = page_info.where("coalesce(text_source, '') <> 'ocr' AND text IS NOT NULL").select("text")
     return scanned, digital
 
 
@@ -453,6 +567,11 @@ def _assemble(lines: pd.Series, fixes: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(lines, fixes)])
 
 
+_BODY = (
+    "sdt_id bigint, window int, page_index int, line_no int, kind string, text string, broken boolean, tight boolean, opens boolean, fixes array<struct<raw:string,fix:string>>"
+)
+
+
 def paragraphs(page_info: DataFrame) -> DataFrame:
     """(sdt_id, page_index, line_no, text): the paragraphs of scanned trees, by the place of their first line.
 
@@ -461,9 +580,22 @@ def paragraphs(page_info: DataFrame) -> DataFrame:
     on over page ends.  Titles stand alone.  Paragraph starts are carried forward within windows of pages
     first and between windows by one row per window, so no tree is put in order by one task.
     """
-    lines, fixes = repair_lines(*_scanned(page_info))
-    at = ["sdt_id", "page_index", "line_no"]
-    body = lines.where("kind IN ('text', 'title')").withColumn("window", F.floor(F.col("page_index") / WINDOW).cast("int"))
+    suspended = _SUSPENDED
+
+    def lines(batches):
+        fix = pa.struct([("raw", pa.string()), ("fix", pa.string())])
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(fix)]
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                broken, fixes = line_verdicts(r)
+                for i, kind in enumerate(r["kind"]):
+                    if kind in ("text", "title"):
+                        told = [{"raw": a, "fix": b} for a, b in fixes[i]]
+                        rows.append((r["sdt_id"], r["window"], r["page"][i], r["line"][i], kind, r["text"][i], broken[i], r["right"][i] not in suspended, r["opens"][i], told))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], [f.split()[0] for f in _BODY.split(", ")])
+
+    body = cut(repair_windows(*_scanned(page_info)).mapInArrow(lines, _BODY))
     starts = F.when((F.col("kind") == "title") | F.col("opens"), F.struct("page_index", "line_no"))
     order = Window.partitionBy("sdt_id", "window").orderBy("page_index", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     local = body.withColumn("start", F.last(starts, ignorenulls=True).over(order))
@@ -476,12 +608,11 @@ def paragraphs(page_info: DataFrame) -> DataFrame:
     first = F.struct(F.lit(-1).alias("page_index"), F.lit(-1).alias("line_no"))
     whole = (
         local.join(carried, ["sdt_id", "window"])
-        .join(fixes.groupBy(*at).agg(F.collect_set(F.struct("raw", "fix")).alias("fixes")), at, "left")
         .withColumn("start", F.coalesce("start", "carried", first))
         .groupBy("sdt_id", "start")
         .agg(
-            F.array_sort(F.collect_list(F.struct("page_index", "line_no", "text", "broken", (~F.coalesce(F.col("right").isin(sorted(_SUSPENDED)), F.lit(False))).alias("tight")))).alias("parts"),
-            F.flatten(F.collect_list(F.coalesce("fixes", F.array()))).alias("fixes"),
+            F.array_sort(F.collect_list(F.struct("page_index", "line_no", "text", "broken", "tight"))).alias("parts"),
+            F.flatten(F.collect_list("fixes")).alias("fixes"),
         )
     )
     place = F.element_at("parts", 1)
@@ -490,12 +621,16 @@ def paragraphs(page_info: DataFrame) -> DataFrame:
 
 def scan_findings(page_info: DataFrame) -> DataFrame:
     """(sdt_id, page_index, line_no, kind) of the scanned pages: 'furniture', 'broken' and 'misread', one row per line and kind."""
-    lines, _ = repair_lines(*_scanned(page_info))
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("kind") == "furniture", F.lit("furniture")),
-            F.when((F.col("kind") == "text") & F.col("broken"), F.lit("broken")),
-            F.when((F.col("kind") == "text") & F.col("misread"), F.lit("misread")),
-        )
-    )
-    return lines.select("sdt_id", "page_index", "line_no", F.explode(kinds).alias("kind"))
+
+    def findings(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                broken, fixes = line_verdicts(r)
+                for i, (page, line, kind) in enumerate(zip(r["page"], r["line"], r["kind"])):
+                    told = ["furniture"] if kind == "furniture" else [x for x, yes in (("broken", broken[i]), ("misread", fixes[i])) if yes and kind == "text"]
+                    rows += [(r["sdt_id"], page, line, x) for x in told]
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["sdt_id", "page_index", "line_no", "kind"])
+
+    return repair_windows(*_scanned(page_info)).drop("text", "opens", "count").mapInArrow(findings, "sdt_id bigint, page_index int, line_no int, kind string")

@@ -109,3 +109,34 @@ def test_words_of_two_characters_may_be_misread(spark):
     stats = spark.createDataFrame([("of", 9, 90), ("in", 9, 90), ("it", 9, 90)], "word string, clean long, total long")
     suspects = spark.createDataFrame([("0f",), ("1n",), ("lt",), ("of",), ("zq",)], "raw string")
     assert {r.raw: r.fix for r in sc.misread_words(suspects, stats).collect()} == {"0f": "of", "1n": "in", "lt": "it"}
+
+
+def test_windows_of_a_book_agree_with_the_whole(spark):
+    """A header in capitals that recurs 80 pages on, and a footer that stands on one page of every window, as one long book would have them."""
+    rng = random.Random(8)
+    texts, _ = book(rng, pages=3 * sc.WINDOW - 20)
+    for p in range(len(texts)):
+        lines = texts[p].split("\n")
+        if p % 80 == 40:
+            lines[0] = "THE QUARRY AND THE FURNACE"
+            lines[1] = lines[1][:1].upper() + lines[1][1:]
+        if p % sc.WINDOW == 30:
+            lines[-1] = "Harbour library copy"
+        texts[p] = "\n".join(lines)
+    pages = list(enumerate(texts))
+    whole = {(p, no, k) for (p, _), kinds in zip(pages, sc.classify_pages(pages)) for no, k in enumerate(kinds)}
+    rows = sc.page_windows(spark.createDataFrame([(1, p, t) for p, t in pages], "sdt_id long, page_index int, text string")).collect()
+    windowed = {x for r in rows for x in zip(r.page, r.line, r.kind)}
+    assert len(rows) == 3 and windowed == whole
+    assert {k for p, no, k in whole if no == 0 and p % 80 == 40 and p > 60} == {"furniture"} and all((p, texts[p].count("\n"), "furniture") in whole for p in range(30, len(texts), sc.WINDOW))
+
+
+def test_alike_keys_are_found_without_comparing_all(spark):
+    rng = random.Random(4)
+    keys = [[" ".join(rng.choice(WORDS)[: rng.randint(2, 9)] for _ in range(rng.randint(1, 3))) for _ in range(3)] for _ in range(40)]
+    keys[7][0], keys[30][0] = "the lantern of holmon", "the 1antern of holmo"
+    told = sc._Edges(keys, list(range(40)), [])
+    for p, on_page in enumerate(keys):
+        for k in on_page:
+            assert told.before(k, p) == any(sc._alike(k, x) for q in range(p) for x in keys[q])
+            assert told.later(k, p) == any(sc._alike(k, x) for q in range(p + 1, 40) for x in keys[q])
