@@ -8,7 +8,8 @@ What a prototype is:
 * full-width, half-width, font, positional and no-break variants, ligatures and other compatibility
   letters become the plain characters that Unicode's own decomposition names;
 * super- and subscripts, fractions, circled and squared characters keep their look and stay themselves;
-* letters of other scripts drawn like a Latin letter become that letter (``LOOKALIKES``);
+* letters and signs drawn like another one become that one, by the public table of Unicode confusables that
+  Spark's own jars hold; characters of ASCII stay themselves, and so do marks, digits and pictures;
 * every blank of the separator class becomes U+0020, every hyphen U+002D;
 * invisible characters vanish, except where they change the picture: joiners between emoji and
   between letters of joining scripts, variation selectors behind symbols with two presentations.
@@ -18,30 +19,94 @@ Letter case, accents and spelling are untouched.
 
 from __future__ import annotations
 
+import atexit
+import glob
+import importlib
+import os
 import re
+import shutil
+import struct
+import tempfile
 import unicodedata
+import zipfile
 from functools import lru_cache
 
-# Letters of other scripts and rarer Latin letters by the letter they are drawn like.
-LOOKALIKES = {
-    # Cyrillic
-    "а": "a", "в": "ʙ", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q",
-    "ѕ": "s", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "с": "c", "ү": "y", "ԍ": "G",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O",
-    "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y", "У": "Y", "Ӏ": "I",
-    # Greek
-    "α": "a", "ι": "i", "ϳ": "j", "ο": "o", "ρ": "p", "ν": "v", "υ": "u", "ϲ": "c", "γ": "y", "σ": "o",
-    "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
-    # Armenian
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g", "յ": "j", "Տ": "S", "Օ": "O", "Ս": "U", "Լ": "L",
-    # Latin letters of phonetic alphabets, dotless and roman-numeral forms
-    "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ʏ": "Y", "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
-    "ǀ": "l", "ᴋ": "k", "ɴ": "N", "ʟ": "L",
-    # Cherokee and Lisu capitals
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S",
-    "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "ꓐ": "B", "ꓑ": "P", "ꓔ": "T", "ꓗ": "K", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
-}
+#: A module with the table, for machines that have no jars: see :func:`ship`.
+_SHIPPED = "arbordoc_lookalikes"
+# Letters that the public table parts from, or takes for, another letter than the one they are drawn like.
+_CORRECTED = {"\u04cf": "l", "\u0237": "j", "\u0575": "j", "\u051a": "Q", "\u053c": "L"}
+#: Kinds of characters that may be drawn like another one; marks, digits, pictures and signs of currency keep their look.
+_DRAWN_ALIKE = ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Pd", "Po", "Ps", "Pe", "Pc", "Sm")
+
+
+#: Scripts of syllables and ideographs, whose characters are told apart by the words they stand in.
+_OWN_DRAWING = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "KANGXI", "HALFWIDTH", "IDEOGRAPHIC", "YI ", "VERTICAL")
+
+
+def read_confusables(jar: str) -> dict[str, str]:
+    """The confusables of Unicode as ICU packs them: each character's prototype.
+
+    The entry is a header, then sorted keys (the code point, and in the top byte the prototype's length
+    less one), their values (the prototype itself, or where it begins in a table of UTF-16), and that table.
+    """
+    with zipfile.ZipFile(jar) as held:
+        raw = held.read(next(n for n in held.namelist() if n.endswith("/confusables.cfu")))
+    body = raw[struct.unpack(">H", raw[:2])[0] :]
+    keys_at, keys, values_at, values, table_at, table = struct.unpack(">6I", body[12:36])
+    codes = struct.unpack(f">{keys}I", body[keys_at : keys_at + 4 * keys])
+    places = struct.unpack(f">{values}H", body[values_at : values_at + 2 * values])
+    text = body[table_at : table_at + 2 * table]
+    return {chr(k & 0x1FFFFF): chr(v) if k >> 24 == 0 else text[2 * v : 2 * (v + (k >> 24) + 1)].decode("utf-16-be") for k, v in zip(codes, places)}
+
+
+def lookalikes_from(confusables: dict[str, str]) -> dict[str, str]:
+    """Characters outside ASCII by the one they are drawn like.
+
+    Only single letters (with their marks) and signs count, so that spellings stay apart; the table's
+    classes that hold several characters of ASCII are parted again, by the case of the letter.
+    """
+    out = {}
+    for ch, like in confusables.items():
+        kind = unicodedata.category(ch)
+        bases = [c for c in unicodedata.normalize("NFD", like) if not unicodedata.combining(c)]
+        if ch < "\x80" or kind not in _DRAWN_ALIKE or len(bases) != 1 and like != "rn" or unicodedata.name(ch, "").startswith(_OWN_DRAWING):
+            continue
+        if like == "l":
+            like = "I" if kind in ("Lu", "Nl") else "l"
+        out[ch] = "m" if like == "rn" else like
+    return out | _CORRECTED
+
+
+@lru_cache(maxsize=1)
+def lookalikes() -> dict[str, str]:
+    """The table of this machine: from ICU's data among Spark's jars, or as it was shipped."""
+    try:
+        return importlib.import_module(_SHIPPED).TABLE
+    except ImportError:
+        pass
+    import pyspark
+
+    homes = [os.environ.get("SPARK_HOME", ""), os.path.dirname(pyspark.__file__)]
+    jars = sorted(j for h in homes if h for j in glob.glob(os.path.join(h, "jars", "icu4j-*.jar")))
+    if not jars:
+        raise FileNotFoundError("Spark's jars with the look-alike table (icu4j) are not here: call ship() on the driver")
+    return lookalikes_from(read_confusables(jars[-1]))
+
+
+def ship(spark) -> None:
+    """Gives Python workers the driver's table, so that all have the same; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_arbordoc_lookalikes", False):
+        return
+    aside = tempfile.mkdtemp(prefix="arbordoc-")
+    atexit.register(shutil.rmtree, aside, ignore_errors=True)
+    path = os.path.join(aside, _SHIPPED + ".py")
+    with open(path, "w", encoding="utf-8") as file:
+        file.write(f"TABLE = {lookalikes()!r}\n")
+    context.addPyFile(path)
+    context._arbordoc_lookalikes = True
+
+
 # Hyphens and dashes drawn as a short horizontal stroke, by the plain hyphen.
 HYPHENS = "\u2010\u2011\u2012\u2013\u2212\u02d7\ufe58\ufe63\uff0d\u2043"
 # Single quotation marks drawn as an apostrophe.
@@ -68,15 +133,16 @@ def prototype(ch: str) -> str:
         return " "
     if category == "Cf" or ch in _INVISIBLE_MARKS:
         return ""
-    if ch in LOOKALIKES:
-        return LOOKALIKES[ch]
     parts = unicodedata.decomposition(ch).split()
     if parts:
         if parts[0][0] != "<":
             return "".join(prototype(c) for c in unicodedata.normalize("NFD", ch))
+        if parts[0] == "<compat>" and ch in lookalikes():
+            return lookalikes()[ch]
         if parts[0] in _SAME_LOOK or parts[0] == "<compat>" and (category[0] == "L" or category == "Nl" or ch in "‥…"):
             return "".join(prototype(chr(int(p, 16))) for p in parts[1:])
-    return ch
+        return ch
+    return lookalikes().get(ch, ch)
 
 
 @lru_cache(maxsize=1 << 14)
