@@ -83,6 +83,19 @@ def _edge(line: str) -> tuple[str, int | None]:
     return re.sub(r"[\W_]+", " ", " ".join(words).casefold()).strip(), number
 
 
+@lru_cache(maxsize=1 << 12)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
+def _ratio(a: str, b: str, least: float) -> bool:
+    """Whether two lines match in at least that share of their letters; those they have in common at all are a bound."""
+    other = _letters(b)
+    if 2 * sum(min(n, other[c]) for c, n in _letters(a).items()) < least * (len(a) + len(b)):
+        return False
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= least
+
+
 @lru_cache(maxsize=1 << 15)
 def _alike(a: str, b: str) -> bool:
     """Whether two edge lines are the same but for misread or cut-off letters."""
@@ -96,9 +109,9 @@ def _alike(a: str, b: str) -> bool:
     words = set(short.split())
     if len(words) > 1 and not any(len(w) > 2 for w in words.intersection(long.split())):
         return False
-    if 2 * len(short) >= ALIKE * (len(a) + len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= ALIKE:
+    if 2 * len(short) >= ALIKE * (len(a) + len(b)) and _ratio(a, b, ALIKE):
         return True
-    return 8 <= len(short) < len(long) and SequenceMatcher(None, short, long[: len(short)], autojunk=False).ratio() >= 0.85
+    return 8 <= len(short) < len(long) and _ratio(short, long[: len(short)], 0.85)
 
 
 class _Edges:
@@ -247,6 +260,7 @@ def _repeats(key: str, p: int, edges, recurring) -> bool:
     return any(_alike(k, key) for k in here) or any(_alike(k, key) for k, _, _ in recurring)
 
 
+@lru_cache(maxsize=1 << 16)
 def _raw(token: str) -> str:
     """A token without outer punctuation; '!' and '(' stay, as they may be misread letters."""
     return token.strip(".,;:?\"'“”‘’«»[]{}…").rstrip(")").lower()
@@ -256,56 +270,59 @@ def base_form(raw: str) -> str:
     return raw.strip("!(.,;:?\"'”’)")
 
 
-# What is known of a window of pages: its lines as arrays side by side, each line's word parted at its end (left,
-# right, marked) and at the end of the line before (in_left, ...), and its distinct words with the lines they are in.
+# What is known of a window of pages: its lines as arrays side by side, each with the word parted at its end (left,
+# right, marked); the word parted before its first line of text (coming); its words with the lines they are in.
 _WINDOW = (
     "sdt_id bigint, window int, page array<int>, line array<int>, kind array<string>, text array<string>, left array<string>, right array<string>, "
-    "marked array<boolean>, in_left array<string>, in_right array<string>, in_marked array<boolean>, opens array<boolean>, "
-    "raw array<string>, count array<int>, places array<array<int>>"
+    "marked array<boolean>, opens array<boolean>, coming struct<left:string,right:string,marked:boolean>, raw array<string>, count array<int>, places array<array<int>>"
 )
 
 
-def read_window(pages: list[tuple[int, str]], owned, recurring=(), in_order=()) -> tuple[list[list], dict[str, list[int]]]:
-    """(lines, words) of the owned ones among some pages (index, text), ascending.
+def read_window(pages: list[tuple[int, str]], owned, recurring=(), in_order=()) -> tuple[list[list], dict[str, list[int]], tuple]:
+    """(lines, words, coming) of the owned ones among some pages (index, text), ascending.
 
-    A line is [page, line, kind, text, left, right, marked, in_left, in_right, in_marked, opens]; ``words``
-    has for each word as it was read the numbers of the lines it stands in, once per time.  A word parted
-    by a hyphen is in neither line; of line ends without a hyphen the two words beside are pairs as well.
+    A line is [page, line, kind, text, left, right, marked, opens]; ``words`` has for each word as it was
+    read the numbers of the lines it stands in, once per time; ``coming`` is the pair (left, right, marked)
+    at the end of the text before the first line.  A word parted by a hyphen is in neither line; of line
+    ends without a hyphen the two words beside are pairs as well.
     """
     kinds = classify_pages(pages, recurring, in_order)
-    flow: list[tuple[int, int, str] | None] = []
+    places = [(index, no, k, line) for (index, text), kind in zip(pages, kinds) for no, (line, k) in enumerate(zip(text.split("\n"), kind))]
+    flow = [x for x in places if x[2] in ("text", "title")]
+    after = dict(zip(((x[0], x[1]) for x in flow), [*flow[1:], None]))
     lines: list[list] = []
-    for (index, text), kind in zip(pages, kinds):
-        for no, (line, k) in enumerate(zip(text.split("\n"), kind)):
-            flow += [(index, no, line)] if k == "text" else [None] if k == "title" else []
-            if k != "text" and owned(index):
-                lines.append([index, no, k, line, *[None] * 7])
     words: dict[str, list[int]] = {}
-    blank = {index: {no for no, k in enumerate(kind) if k == "blank"} for (index, _), kind in zip(pages, kinds)}
-    coming = (None, None, None)  # the pair at the end of the line before
-    for at, item in enumerate(flow):
-        if item is None:
-            coming = (None, None, None)
+    none = (None, None, None)
+    pair, first = none, None  # the pair at the end of the line before; the one before the first line
+    before = blank = None  # the line of text or title before; the place behind the last blank line
+    for index, no, kind, line in places:
+        mine = owned(index)
+        if mine and first is None:
+            first = pair
+        if kind == "blank":
+            blank = (index, no + 1)
+        if kind != "text":
+            if kind == "title":
+                pair, before = none, (index, kind)
+            if mine:
+                lines.append([index, no, kind, line, *none, None])
             continue
-        index, no, line = item
         tokens = line.split()
-        after = flow[at + 1] if at + 1 < len(flow) else None
-        before = flow[at - 1] if at else None
-        opens = line[:1] == " " or no - 1 in blank[index] and before is not None and before[0] == index or at > 0 and before is None
-        start = 1 if coming[2] else 0  # the first word belongs to the line before
-        pair = (None, None, None)
-        if after and tokens and after[2].split():
-            last, first = tokens[-1], after[2].split()[0]
+        opens = line[:1] == " " or before is not None and (before[1] == "title" or blank == (index, no) and before[0] == index)
+        start = 1 if pair[2] else 0  # the first word belongs to the line before
+        pair, following = none, after[index, no]
+        if following and following[2] == "text" and tokens and following[3].split():
+            last, begins = tokens[-1], following[3].split()[0]
             marked = len(last) > 1 and last[-1] in MARKS and (last[-2].isalnum() or last[-2] in "€!(ſ")
-            if marked or (last[-1].isalpha() and first[:1].islower() and len(tokens) > start):
-                pair = (_raw(last.rstrip(MARKS) if marked else last), _raw(first), marked)
-        if owned(index):
+            if marked or (last[-1].isalpha() and begins[:1].islower() and len(tokens) > start):
+                pair = (_raw(last.rstrip(MARKS) if marked else last), _raw(begins), marked)
+        before = (index, kind)
+        if mine:
             for t in tokens[start : len(tokens) - (1 if pair[2] else 0)]:
                 if w := _raw(t):
                     words.setdefault(w, []).append(len(lines))
-            lines.append([index, no, "text", line, *pair, *coming, opens])
-        coming = pair
-    return lines, words
+            lines.append([index, no, kind, line, *pair, opens])
+    return lines, words, first or none
 
 
 def _pages_of(held: list[dict]) -> list[tuple[int, str]]:
@@ -365,16 +382,17 @@ def page_windows(pages: DataFrame) -> DataFrame:
         windows = windows.join(cut(_tree_edges(_gathered(whole.join(long, "sdt_id", "left_semi")))), ["sdt_id", "window"], "left")
 
     def read(batches):
-        kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-        types = [pa.int64(), pa.int32(), *(pa.list_(t) for t in kinds), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+        kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.bool_(), pa.bool_()]
+        coming = pa.struct([("left", pa.string()), ("right", pa.string()), ("marked", pa.bool_())])
+        types = [pa.int64(), pa.int32(), *(pa.list_(t) for t in kinds), coming, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
         names = [f.split()[0] for f in _WINDOW.split(", ")]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 recurring = [tuple(k.values()) for k in r["recurring"] or ()]
-                lines, words = read_window(_pages_of(r["pages"]), lambda index, w=r["window"]: index // WINDOW == w, recurring, r["in_order"] or ())
+                lines, words, pair = read_window(_pages_of(r["pages"]), lambda index, w=r["window"]: index // WINDOW == w, recurring, r["in_order"] or ())
                 columns = map(list, zip(*lines)) if lines else [[]] * len(kinds)
-                rows.append((r["sdt_id"], r["window"], *columns, list(words), [len(x) for x in words.values()], [list(dict.fromkeys(x)) for x in words.values()]))
+                rows.append((r["sdt_id"], r["window"], *columns, dict(zip(("left", "right", "marked"), pair)), list(words), [len(x) for x in words.values()], [list(dict.fromkeys(x)) for x in words.values()]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return windows.mapInArrow(read, _WINDOW)
@@ -445,7 +463,7 @@ def misread_words(suspects: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def repair_windows(pages: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """The windows of :func:`page_windows` with ``read``, the misread words (raw, fix) in them, and ``parted``, what is decided of pairs at line ends.
+    """The windows of :func:`page_windows` with ``read``, the misread words (raw, fix, places) in them, and ``parted``, what is decided of pairs at line ends.
 
     ``vocabulary`` (text) is text that was never scanned; its words are taken as right.  Words and pairs are
     decided once each; windows meet the decisions by their distinct words and pairs, so that no common
@@ -461,8 +479,7 @@ def repair_windows(pages: DataFrame, vocabulary: DataFrame | None = None) -> Dat
 
     # pairs at line ends, each distinct one once
     ends = F.arrays_zip(F.col("left").alias("left"), F.col("right").alias("right"), F.col("marked").alias("marked"))
-    starts = F.arrays_zip(F.col("in_left").alias("left"), F.col("in_right").alias("right"), F.col("in_marked").alias("marked"))
-    here = held.select("sdt_id", "window", F.explode(F.array_union(ends, starts)).alias("p")).where("p.left IS NOT NULL").select("sdt_id", "window", "p.*")
+    here = held.select("sdt_id", "window", F.explode(F.array_union(ends, F.array("coming"))).alias("p")).where("p.left IS NOT NULL").select("sdt_id", "window", "p.*")
     joined = F.concat("left", "right")
     pairs = here.select("left", "right", "marked").distinct().withColumn("joined", joined).withColumn("word", _base(joined))
     # without a hyphen, only pairs whose joined word is known come into question
@@ -493,31 +510,37 @@ def repair_windows(pages: DataFrame, vocabulary: DataFrame | None = None) -> Dat
     )
 
     # back to the windows
-    own = held.select("sdt_id", "window", F.explode(F.array_distinct(F.concat("raw", F.filter(F.concat("left", "right"), lambda w: w.isNotNull())))).alias("raw"))
-    wrong = own.join(read.select("raw", "fix"), "raw").select("sdt_id", "window", F.struct("raw", "fix").alias("read"), F.lit(None).alias("pair"))
+    halves = F.array_except(F.concat("left", "right", F.array("coming.left", "coming.right")), "raw")
+    own = F.concat(F.arrays_zip("raw", "places"), F.transform(halves, lambda w: F.struct(w.alias("raw"), F.array().cast("array<int>").alias("places"))))
+    own = held.select("sdt_id", "window", F.explode(own).alias("w")).select("sdt_id", "window", "w.*")
+    wrong = own.join(read.select("raw", "fix"), "raw").select("sdt_id", "window", F.struct("raw", "fix", "places").alias("read"), F.lit(None).alias("pair"))
     decided = here.join(judged, ["left", "right", "marked"]).select(
         "sdt_id", "window", F.lit(None).alias("read"), F.struct("left", "right", "marked", "parted", "joined", "joined_fix", "joined_at").alias("pair")
     )
     told = wrong.unionByName(decided).groupBy("sdt_id", "window").agg(F.collect_list("read").alias("read"), F.collect_list("pair").alias("parted"))
-    return held.join(told, ["sdt_id", "window"], "left")
+    return held.drop("raw", "count", "places").join(told, ["sdt_id", "window"], "left")
 
 
 def line_verdicts(row: dict) -> tuple[list[bool], list[list[tuple[str, str | None]]]]:
     """(broken, misread words with their fixes) of each line of a window of :func:`repair_windows`."""
-    read = {r["raw"]: r["fix"] for r in row["read"] or ()}
-    pairs = {(p["left"], p["right"], p["marked"]): p for p in row["parted"] or ()}
     n = len(row["page"])
     broken, fixes = [False] * n, [{} for _ in range(n)]
-    ends = [pairs.get(k) for k in zip(row["left"], row["right"], row["marked"])]
-    starts = [pairs.get(k) for k in zip(row["in_left"], row["in_right"], row["in_marked"])]
-    if read:
-        for raw, places in zip(row["raw"], row["places"]):
-            if raw in read:
-                for i in places:
-                    # halves of a word parted without a hyphen are no words
-                    half = ends[i] and not ends[i]["marked"] and ends[i]["left"] == raw or starts[i] and not starts[i]["marked"] and starts[i]["right"] == raw
-                    if not half:
-                        fixes[i][raw] = read[raw]
+    read = {r["raw"]: r["fix"] for r in row["read"] or ()}
+    pairs = {(p["left"], p["right"], p["marked"]): p for p in row["parted"] or ()}
+    ends = [pairs.get(k) for k in zip(row["left"], row["right"], row["marked"])] if pairs else [None] * n
+    starts, coming = [None] * n, pairs.get(tuple(row["coming"].values()))
+    for i, kind in enumerate(row["kind"] if pairs else ()):
+        if kind == "text":
+            starts[i], coming = coming, ends[i]
+        elif kind == "title":
+            coming = None
+    for r in row["read"] or ():
+        raw = r["raw"]
+        for i in r["places"]:
+            # halves of a word parted without a hyphen are no words
+            half = ends[i] and not ends[i]["marked"] and ends[i]["left"] == raw or starts[i] and not starts[i]["marked"] and starts[i]["right"] == raw
+            if not half:
+                fixes[i][raw] = r["fix"]
     for i, (end, start) in enumerate(zip(ends, starts)):
         broken[i] = bool(end) and end["parted"]
         for pair, side in ((end, "left"), (start, "right")):
@@ -633,4 +656,4 @@ def scan_findings(page_info: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["sdt_id", "page_index", "line_no", "kind"])
 
-    return repair_windows(*_scanned(page_info)).drop("text", "opens", "count").mapInArrow(findings, "sdt_id bigint, page_index int, line_no int, kind string")
+    return repair_windows(*_scanned(page_info)).drop("text", "opens").mapInArrow(findings, "sdt_id bigint, page_index int, line_no int, kind string")
