@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut
-from .skeleton import skeleton
+from .skeleton import ship, skeleton
 
 #: Blocks per window of a tree, and blocks of context on both sides.
 WINDOW = 512
@@ -264,6 +264,7 @@ def fit(blocks: DataFrame, sample_blocks: int = 300_000, least: int = 2) -> Mode
     that share.  What the model takes for an unseen one anyway stays behind.  Windows are counted where they
     are, so only distinct features are shuffled.
     """
+    ship(blocks.sparkSession)
     rows = blocks.count()
     part = min(1.0, sample_blocks / max(rows, 1))
     chosen = F.pmod(F.xxhash64("sdt_id", "window"), F.lit(1_000_003)) < F.lit(int(part * 1_000_003) + 1)
@@ -457,6 +458,7 @@ def main_body(blocks: DataFrame, model: Model | None = None) -> DataFrame:
     with context, so no tree has to fit in one task; what is decided by the whole page, the border of the
     regions and whether there is a content region at all, is gathered from all windows of a tree first.
     """
+    ship(blocks.sparkSession)
     pages = _pages(blocks)
     model = model or fit(pages)
     windows = windows_of(pages, "block_type", "text", halo=HALO)

@@ -50,6 +50,7 @@ def unify_texts(nodes: DataFrame, text: str = "text", delta_map: str = "delta_ma
     the source that ``delta_map`` leads to (an absent map counts as one to one).  A NULL text stays NULL
     with a NULL map; an empty one stays empty.  Rows are kept as they are, repeated ones too.
     """
+    sk.ship(nodes.sparkSession)
     plain = _ascii(F.col(text)) & (F.trim(text) == F.col(text))
     both = _unify_udf(F.when(~plain, F.col(text)), F.when(~plain, F.col(delta_map)))
     return (
@@ -77,6 +78,7 @@ def lookalike_nodes(nodes: DataFrame, node: str = "node_id", scope: str = "sdt_i
     many rows they have, are dropped by a pre-aggregated minimum and maximum, before anything is joined.
     NULL nodes, scopes and texts have no look-alike.
     """
+    sk.ship(nodes.sparkSession)
     keyed = cut(keyed_nodes(nodes, node, scope, text))
     mixed = (
         keyed.groupBy("scope", "look")
@@ -87,11 +89,38 @@ def lookalike_nodes(nodes: DataFrame, node: str = "node_id", scope: str = "sdt_i
     return keyed.join(mixed, ["scope", "look"], "left_semi").distinct()
 
 
+def lookalike_classes(nodes: DataFrame, node: str = "node_id", scope: str = "sdt_id", text: str = "text") -> DataFrame:
+    """(scope, node, class, spelling, links): one row per node that has look-alikes.
+
+    ``class`` names the texts of a scope that look the same, ``spelling`` those of the same characters;
+    ``links`` counts the nodes of the class in other spellings.  Linear in the nodes: no pairs are made.  A
+    node whose repeated rows have several spellings has a row for each.
+    """
+    members = cut(lookalike_nodes(nodes, node, scope, text))
+    spelled = members.groupBy("scope", "look", "form").agg(F.count("*").alias("n"))
+    whole = spelled.groupBy("scope", "look").agg(F.sum("n").alias("all"))
+    counted = spelled.join(whole, ["scope", "look"]).select("scope", "look", "form", (F.col("all") - F.col("n")).alias("links"))
+    return members.join(counted, ["scope", "look", "form"]).select(
+        "scope", "node", F.lower(F.hex("look")).alias("class"), F.lower(F.hex("form")).alias("spelling"), "links"
+    )
+
+
+def lookalike_spellings(nodes: DataFrame, node: str = "node_id", scope: str = "sdt_id", text: str = "text") -> DataFrame:
+    """(scope, class, spelling_a, spelling_b, node_a, node_b, nodes_a, nodes_b): pairs of spellings, each by its least node and its number of nodes."""
+    members = lookalike_nodes(nodes, node, scope, text)
+    spelled = cut(members.groupBy("scope", "look", "form").agg(F.min("node").alias("node"), F.count("*").alias("nodes")))
+    a, b = (spelled.select("scope", "look", *(F.col(c).alias(f"{c}_{side}") for c in ("form", "node", "nodes"))) for side in "ab")
+    return a.join(b, ["scope", "look"]).where("form_a < form_b").select(
+        "scope", F.lower(F.hex("look")).alias("class"), F.lower(F.hex("form_a")).alias("spelling_a"), F.lower(F.hex("form_b")).alias("spelling_b"), "node_a", "node_b", "nodes_a", "nodes_b"
+    )
+
+
 def lookalike_pairs(nodes: DataFrame, node: str = "node_id", scope: str = "sdt_id", text: str = "text") -> DataFrame:
     """(node_a, node_b), a < b: nodes of one scope whose texts look the same but are not the same characters.
 
     Spellings of a class are paired first and then replaced by their nodes, so that every row that is
-    joined is a row of the result: copies of one spelling never meet each other.
+    joined is a row of the result: copies of one spelling never meet each other.  Where that many rows are
+    not wanted, :func:`lookalike_classes` says the same by class and :func:`lookalike_spellings` by spelling.
     """
     members = lookalike_nodes(nodes, node, scope, text)
     forms = members.select("scope", "look", "form").distinct()

@@ -200,8 +200,9 @@ def split_chunks(chunks: DataFrame, limits: DataFrame, blocks: DataFrame) -> Dat
     task.  Where the lengths do not add up to the chunk's text (blocks missing or changed), the pieces
     get the chunk's own range, as they do for a chunk without blocks.
     """
-    big = oversized(chunks, limits).select("chunk_id", "sdt_id", "start_block_index", "end_block_index", u16_len(F.col("text")).alias("units"))
-    big = big.dropDuplicates(["chunk_id"])
+    # of unlike rows of one id the same one that is cut
+    range_ = F.struct("sdt_id", "start_block_index", "end_block_index", u16_len(F.col("text")).alias("units"))
+    big = oversized(chunks, limits).groupBy("chunk_id").agg(F.min_by(range_, F.xxhash64("text")).alias("_row")).select("chunk_id", "_row.*")
     spread = big.select("chunk_id", "sdt_id", "units", F.explode(F.sequence("start_block_index", "end_block_index")).alias("block_index"))
     told = blocks.where("coalesce(text, '') <> '' AND coalesce(flow_class, '') <> 'excluded'").select(
         "sdt_id", "block_index", u16_len(F.col("text")).alias("n"), (F.col("block_type") == "heading").alias("heading")
