@@ -51,7 +51,7 @@ _REPEATED = f"""
     s AS (SELECT d, p, unnest(range(1, len(x) + 1)) AS s, unnest(x) AS sent FROM (SELECT d, p, string_split(
         regexp_replace(regexp_replace(para, '([.!?…]+)([^\\pL\\pN_.!?…]|$)', '\\1' || chr(1) || '\\2', 'g'), '([。！？｡]+)', '\\1' || chr(1), 'g'), chr(1)) AS x FROM p)),
     w0 AS (SELECT d, p, s, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS raw FROM (SELECT d, p, s, regexp_extract_all(sent, '[\\pL\\pN]+') AS x FROM s)),
-    w AS (SELECT d, p, s, lower(raw) AS word, length(raw) AS n, raw, row_number() OVER (PARTITION BY d ORDER BY p, s, k) AS i FROM w0),
+    w AS (SELECT d, p, s, replace(lower(raw), 'ß', 'ss') AS word, length(raw) AS n, raw, row_number() OVER (PARTITION BY d ORDER BY p, s, k) AS i FROM w0),
     g AS (SELECT d, i, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o] END AS gram FROM w WINDOW o AS (PARTITION BY d ORDER BY i)),
     m AS (SELECT DISTINCT d, i + unnest([0, 1, 2, 3, 4]) AS i FROM (SELECT d, i, row_number() OVER (PARTITION BY d, gram ORDER BY i) AS r FROM g WHERE gram IS NOT NULL) WHERE r > 1),
     ss AS (SELECT d, p, s, row_number() OVER (PARTITION BY d, string_agg(word, '' ORDER BY i) ORDER BY p, s) AS r FROM w GROUP BY d, p, s),
