@@ -112,7 +112,8 @@ PARSED = T.StructType(
 )
 
 
-@F.udf(PARSED)
-def parse_col(selector):
-    parsed = parse(selector)
-    return parsed and (parsed["anchor"], parsed["anchor_id"], [tuple(s[n] for n in ("tag", "pseudo", "n", "id", "previous_id")) for s in parsed["segments"]])
+@F.pandas_udf(PARSED)
+def parse_col(selector: pd.Series) -> pd.DataFrame:
+    """The parts of a selector column; all NULL for selectors of another form."""
+    told = [parse(x) or {} for x in selector]
+    return pd.DataFrame({name: [t.get(name) for t in told] for name in PARSED.names}, dtype=object)

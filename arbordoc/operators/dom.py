@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..cluster import cut
 from ..functions import css
 
-#: Levels of elements above one another that are followed.
-MOST_DEPTH = 512
+#: Units of text in a bucket, by which stretches meet the elements around them.
+BUCKET = 1_024
 
 
 def element_paths(dom_nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -21,8 +21,6 @@ def element_paths(dom_nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     deepest = dom_nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return dom_nodes.withColumn("path", F.array("node_no"))
-    if deepest > MOST_DEPTH:
-        raise ValueError(f"elements are nested deeper than {MOST_DEPTH}")
     level = dom_nodes.where("depth = 0").withColumn("path", F.array("node_no"))
     out = level
     for n in range(1, deepest + 1):
@@ -40,8 +38,6 @@ def selectors(dom_nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     told = told.withColumn("_segment", F.coalesce("_id", css.segment(F.col("tag"), F.col("index"), F.col("flags"))))
     told = cut(told.select(key, "node_no", "parent_no", "depth", "_id", "_segment"))
     deepest = told.agg(F.max("depth")).first()[0] or 0
-    if deepest > MOST_DEPTH:
-        raise ValueError(f"elements are nested deeper than {MOST_DEPTH}")
     root = F.when(F.col("_id").isNotNull(), F.col("_id")).otherwise(F.concat(F.lit("body > "), F.col("_segment")))
     level = told.where("depth = 0").withColumn("selector", root)
     out = level
@@ -58,8 +54,10 @@ def selectors(dom_nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 def containing(dom_nodes: DataFrame, stretches: DataFrame, key: str = "doc_id") -> DataFrame:
     """(columns of stretches, node_no): the deepest element that contains each stretch (key, start, end), NULL if none does.
 
-    From level to level the search goes on under the first sibling that contains the stretch.
+    From level to level the search goes on under the first sibling that contains the stretch.  Elements are
+    spelled out as buckets of text, so a stretch only meets those around its start.
     """
+    bucket = lambda c: F.floor(F.col(c) / BUCKET).cast("bigint")
     asked = stretches.withColumn("_no", F.monotonically_increasing_id())
     asked = cut(asked)
     deepest = dom_nodes.agg(F.max("depth")).first()[0]
@@ -67,7 +65,9 @@ def containing(dom_nodes: DataFrame, stretches: DataFrame, key: str = "doc_id")
     found = None
     for n in range(0, -1 if deepest is None else deepest + 1):
         elements = dom_nodes.where(F.col("depth") == n).select(key, "node_no", "parent_no", "sibling", "text_start", (F.col("text_start") + F.col("text_length")).alias("text_end"))
-        on = best.alias("s").join(elements.alias("e"), (F.col(f"s.{key}") == F.col(f"e.{key}")) & F.col("s._at").eqNullSafe(F.col("e.parent_no")) & (F.col("text_start") <= F.col("start")) & (F.col("end") <= F.col("text_end")))
+        elements = elements.where("text_end >= text_start").withColumn("_bucket", F.explode(F.sequence(bucket("text_start"), bucket("text_end"))))
+        here = best.withColumn("_bucket", bucket("start"))
+        on = here.alias("s").join(elements.alias("e"), (F.col(f"s.{key}") == F.col(f"e.{key}")) & (F.col("s._bucket") == F.col("e._bucket")) & F.col("s._at").eqNullSafe(F.col("e.parent_no")) & (F.col("text_start") <= F.col("start")) & (F.col("end") <= F.col("text_end")))
         hit = on.groupBy(F.col(f"s.{key}").alias(key), "_no", "start", "end").agg(F.min_by("node_no", "sibling").alias("_at"))
         best = cut(hit)
         if best.isEmpty():
@@ -91,7 +91,7 @@ def match_selectors(dom_nodes: DataFrame, requests: DataFrame, key: str = "doc_i
             css.escape_col(F.when(F.col("element_id") != "", F.col("element_id"))).alias("id"), css.escape_col(F.when(F.col("previous_id") != "", F.col("previous_id"))).alias("previous_id"),
         )
     )
-    parsed = asked.where("_parsed IS NOT NULL").select(key, "_no", F.reverse("_parsed.segments").alias("segments"), "_parsed.anchor", "_parsed.anchor_id")
+    parsed = asked.where("_parsed.segments IS NOT NULL").select(key, "_no", F.reverse("_parsed.segments").alias("segments"), "_parsed.anchor", "_parsed.anchor_id")
     longest = parsed.agg(F.max(F.size("segments"))).first()[0] or 0
 
     def fits(segment):

@@ -172,8 +172,6 @@ def _word(c: str) -> bool:
     return unicodedata.category(c)[0] in "LN"
 
 
-
-
 def _seam(a: dict, b: dict) -> str:
     last, first = a["last_text"], b["first_text"]
     if not last or not first or last[-1] in BLANKS_TEXT or first[0] in BLANKS_TEXT or a["last_soft"]:
@@ -199,8 +197,11 @@ def _between(a: dict, b: dict) -> str:
 
 def fulltext(nodes: DataFrame, pages: DataFrame, requests: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, request_id, text) for every request (key, request_id, position, page_index); '' where pages have no text."""
-    slices = page_slices(nodes, pages, requests, key).join(seam_ends(nodes, key), [key, "ref"], "left")
-    slices = cut(slices)
+    slices = cut(page_slices(nodes, pages, requests, key))
+    # seams are only between blocks that continue one another
+    linked = slices.where("next_part IS NOT NULL OR previous_part IS NOT NULL")
+    ends = F.explode(F.array_compact(F.array("ref", "next_part", "previous_part")))
+    slices = slices.join(seam_ends(nodes, key, linked.select(key, ends.alias("ref"))), [key, "ref"], "left")
     sorted_out = cut(_plain(slices, key))
     plain = slices.join(sorted_out.where("plain").select(key, "request_id"), [key, "request_id"], "left_semi")
     answered = _relational(plain, key)

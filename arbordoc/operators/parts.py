@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..cluster import cut
+from .text import nested_texts
 
 _REF = T.ArrayType(T.IntegerType())
 MOST_ROUNDS = 40
@@ -84,32 +85,68 @@ def part_chains(nodes: DataFrame, key: str = "doc_id", include: Column | None =
 
     A chain stops before a block it already has, a missing one, or one for which ``include`` (over the
     columns of nodes) is not true.  A root that is excluded or missing has an empty chain.
+
+    Every block learns by doubling which blocks without a predecessor lead to it, and over how many links;
+    a chain is what its root's farthest predecessor leads to, from the root on.  Only documents whose links
+    run in circles are walked link by link.
     """
     roots = part_roots(nodes, key).select(key, "root").distinct()
-    allowed = nodes.where("kind = 'block'") if include is None else nodes.where("kind = 'block'").where(include)
-    step = cut(_links(allowed, key).select(key, F.col("ref").alias("at"), F.col("next_part").alias("_to")).join(allowed.select(key, F.col("ref").alias("at")), [key, "at"]))
-    lone = roots.join(allowed.select(key, F.col("ref").alias("root")), [key, "root"], "left_semi")
-    grown = lone.select(key, "root", F.col("root").alias("at"), F.array("root").alias("path"))
-    grown = cut(grown)
-    finished = None
-    while not grown.isEmpty():
-        ahead = grown.join(step, [key, "at"], "left")
-        going = ahead.where(F.col("_to").isNotNull() & ~F.array_contains("path", F.col("_to"))).join(allowed.select(key, F.col("ref").alias("_to")), [key, "_to"], "left_semi")
-        ended = grown.join(going.select(key, "root"), [key, "root"], "left_anti").select(key, "root", "path")
-        finished = ended if finished is None else finished.unionByName(ended)
-        grown = cut(going.select(key, "root", F.col("_to").alias("at"), F.array_append("path", F.col("_to")).alias("path")))
-    if finished is None:
-        finished = lone.select(key, "root", F.array("root").alias("path"))
-    return finished.select(key, "root", F.posexplode("path").alias("position", "ref"))
-
-
-def seam_ends(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ref, first_text, last_text, last_soft): of every block the first and last text node under it.
+    blocks = nodes.where("kind = 'block'") if include is None else nodes.where("kind = 'block'").where(include)
+    allowed = cut(_links(blocks, key).select(key, "ref", "next_part"))
+    known = allowed.select(key, F.col("ref").alias("next_part"))
+    step = allowed.where("next_part IS NOT NULL").join(known, [key, "next_part"], "left_semi")
+    lone = cut(roots.join(blocks.select(key, F.col("ref").alias("root")), [key, "root"], "left_semi"))
+
+    back = cut(step.select(key, F.col("next_part").alias("ref"), F.col("ref").alias("head"), F.lit(1).alias("hops")))
+    before = None
+    while True:
+        up = back.select(key, F.col("ref").alias("head"), F.col("head").alias("_head"), F.col("hops").alias("_hops"))
+        # a head that has predecessors itself is replaced by them
+        joined = back.join(up, [key, "head"], "left")
+        back = cut(joined.select(key, "ref", F.coalesce("_head", "head").alias("head"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_head").isNotNull().alias("open")))
+        still = back.where("open").count()
+        if not still or still == before:
+            break
+        before, back = still, back.drop("open")
+    whole = back.drop("open").unionByName(lone.select(key, F.col("root").alias("ref"), F.col("root").alias("head"), F.lit(0).alias("hops")))
+    starts = whole.join(lone.withColumnRenamed("root", "ref"), [key, "ref"], "left_semi").groupBy(key, "ref").agg(F.max_by(F.struct("head", "hops"), F.struct("hops", "head")).alias("_s"))
+    starts = starts.select(key, F.col("ref").alias("root"), F.col("_s.head").alias("head"), F.col("_s.hops").alias("_from"))
+    told = starts.join(whole, [key, "head"]).where("hops >= _from").select(key, "root", (F.col("hops") - F.col("_from")).cast("int").alias("position"), "ref").distinct()
+    if not still:
+        return told
+    circles = back.where("open").select(key).distinct()
+    return told.join(circles, key, "left_anti").unionByName(_walked(lone.join(circles, key, "left_semi"), step, key))
+
+
+def _walked(roots: DataFrame, step: DataFrame, key: str) -> DataFrame:
+    """Chains of documents with circles, one document at a time: only their linked blocks."""
+    schema = T.StructType([roots.schema[key], *(T.StructField(n, t) for n, t in (("root", _REF), ("position", T.IntegerType()), ("ref", _REF)))])
+    links = step.select(key, F.col("ref"), F.col("next_part")).unionByName(roots.select(key, F.col("root").alias("ref"), F.lit(None).cast(_REF).alias("next_part")))
+
+    def walk(key_value: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = [(tuple(r), None if n is None else tuple(n)) for r, n in zip(pdf["ref"], pdf["next_part"])]
+        onward = {r: n for r, n in pairs if n is not None}
+        rows = []
+        for root in sorted({r for r, n in pairs if n is None}):
+            at, met = root, {}
+            while at is not None and at not in met:
+                met[at] = len(met)
+                at = onward.get(at)
+            rows += [(key_value[0], list(root), n, list(r)) for r, n in met.items()]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return links.join(roots.select(key).distinct(), key, "left_semi").groupBy(key).applyInPandas(walk, schema)
+
+
+def seam_ends(nodes: DataFrame, key: str = "doc_id", wanted: DataFrame | None = None) -> DataFrame:
+    """(key, ref, first_text, last_text, last_soft): of every block, or of those ``wanted`` (key, ref), the first and last text node under it.
 
     ``last_soft`` is whether the last text ends in a soft hyphen of the layout.
     """
     texts = nodes.where("kind = 'text'").select(key, F.col("ref").alias("leaf"), "text", "text_map")
     spread = texts.withColumn("ref", F.explode(F.transform(F.sequence(F.lit(1), F.size("leaf") - 1), lambda n: F.slice(F.col("leaf"), F.lit(1), n))))
+    if wanted is not None:
+        spread = spread.join(wanted.select(key, "ref").distinct(), [key, "ref"], "left_semi")
     grouped = spread.groupBy(key, "ref").agg(F.min_by("text", "leaf").alias("first_text"), F.max_by(F.struct("text", "text_map"), F.col("leaf")).alias("_last"))
     header = F.get_json_object(F.get(F.from_json("_last.text_map", "array<string>"), F.size(F.from_json("_last.text_map", "array<string>")) - 1), "$[0]")
     soft = F.coalesce(header.try_cast("int").bitwiseAND(1) == 1, F.lit(False))
@@ -132,11 +169,18 @@ def drops_hyphen(last_text: Column, first_text: Column) -> Column:
     return F.coalesce(last_text.endswith("-") & first_text.rlike("^[a-z]"), F.lit(False))
 
 
-def logical_texts(nodes: DataFrame, texts: DataFrame, key: str = "doc_id", include: Column | None = None) -> DataFrame:
-    """(key, root, refs, text) of every chain: its parts' nested texts (key, ref, text) put together at their seams."""
-    chains = part_chains(nodes, key, include)
+def logical_texts(nodes: DataFrame, texts: DataFrame | None = None, key: str = "doc_id", include: Column | None = None) -> DataFrame:
+    """(key, root, refs, text) of every chain: its parts' nested texts (key, ref, text) put together at their seams.
+
+    Without ``texts`` they are made of the blocks that chains touch, and of no others.
+    """
+    chains = cut(part_chains(nodes, key, include))
     order = Window.partitionBy(key, "root").orderBy("position")
-    told = chains.join(texts.select(key, "ref", "text"), [key, "ref"]).join(seam_ends(nodes, key), [key, "ref"], "left")
+    touched = chains.select(key, F.get("ref", F.lit(0)).alias("top_index")).distinct()
+    near = nodes.join(touched, [key, "top_index"], "left_semi")
+    if texts is None:
+        texts = nested_texts(near, key)
+    told = chains.join(texts.select(key, "ref", "text"), [key, "ref"]).join(seam_ends(near, key, chains), [key, "ref"], "left")
     told = (
         told.withColumn("_sep", F.when(F.col("position") > 0, seam_separator(F.lag("last_text").over(order), F.lag("last_soft").over(order), F.col("first_text"))).otherwise(""))
         .withColumn("_cut", drops_hyphen(F.col("last_text"), F.lead("first_text").over(order)))

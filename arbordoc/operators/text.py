@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import refs
@@ -92,6 +96,12 @@ def next_block_refs(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return inside.join(ahead, [key, "_range"]).select(key, "ref", F.coalesce("_next", "_ahead").alias("next_ref"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _offsets(text: pd.Series) -> pd.Series:
+    """Where each character begins, in UTF-16 units; asked only of texts in which that is not its number."""
+    return text.map(lambda t: [0, *accumulate(1 + (c > "\uffff") for c in t[:-1])] if t else None)
+
+
 def characters(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """The character stream of documents: (key, ref, offset, char, block), one row per UTF-16 unit in reading order.
 
@@ -99,10 +109,9 @@ def characters(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     row at or after it; ``block`` is the top-level block, to which a block cursor is confined.  Astral
     characters give one row at the offset of their first unit.
     """
-    texts = nodes.where("kind = 'text' AND text <> ''").select(key, "ref", F.col("top_index").alias("block"), "text")
-    chars = texts.select(key, "ref", "block", F.posexplode(F.split("text", "(?s)(?!^)(?=.)")).alias("k", "char"), "text")
-    before = u16_len(F.substring(F.col("text"), F.lit(1), F.col("k")))
-    return chars.select(key, "ref", before.cast("int").alias("offset"), "char", "block")
+    texts = nodes.where("kind = 'text' AND text <> ''").select(key, "ref", F.col("top_index").alias("block"), "text", _offsets(F.when(u16_len(F.col("text")) > F.length("text"), F.col("text"))).alias("at"))
+    chars = texts.select(key, "ref", "block", "at", F.posexplode(F.split("text", "(?s)(?!^)(?=.)")).alias("k", "char"))
+    return chars.select(key, "ref", F.coalesce(F.get("at", F.col("k")), F.col("k")).cast("int").alias("offset"), "char", "block")
 
 
 def next_chars(nodes: DataFrame, cursors: DataFrame, key: str = "doc_id", confined: bool = False) -> DataFrame:
@@ -111,17 +120,30 @@ def next_chars(nodes: DataFrame, cursors: DataFrame, key: str = "doc_id", confin
     A cursor at a block reads its first text; at a text's end, or at a ref that does not exist, the text
     after it; behind the last text, NULL and offset 0.  ``confined`` cursors stay in their top-level block.
     """
-    at = cursors.where(F.size("ref") > 0).select(key, "cursor_id", F.col("ref").alias("_at"), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).alias("_offset"))
-    spans = nodes.where("kind = 'text' AND text <> ''").select(key, "ref", "ref_end", "top_index", "text", u16_len(F.col("text")).alias("units"))
-    same = (F.col("ref") == F.col("_at")) & (F.col("_offset") < F.col("units"))
-    inside = refs.starts_with(F.col("ref"), F.col("_at")) & (F.col("ref") != F.col("_at"))
-    behind = (F.col("ref") > F.col("_at")) & ~refs.starts_with(F.col("ref"), F.col("_at"))
-    near = at.join(spans, key).where(same | inside | behind)
-    if confined:
-        near = near.where(F.col("top_index") == F.get("_at", F.lit(0)))
-    first = near.groupBy(key, "cursor_id").agg(F.min_by(F.struct("ref", "text", F.when(same, F.col("_offset")).otherwise(0).alias("offset")), F.col("ref")).alias("hit"))
-    hit = first.select(
-        key, "cursor_id", u16_slice(F.col("hit.text"), F.col("hit.offset"), F.col("hit.offset") + 1).alias("char"), F.col("hit.ref").alias("next_ref"),
-        (F.col("hit.offset") + 1).cast("int").alias("next_offset"),
-    )
-    return cursors.select(key, "cursor_id").join(hit, [key, "cursor_id"], "left").withColumn("next_offset", F.coalesce("next_offset", F.lit(0)))
+    at = cursors.where(F.size("ref") > 0).select(
+        key, "cursor_id", F.col("ref").alias("_at"), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int").alias("_offset"), F.get("ref", F.lit(0)).alias("top_index")
+    )
+    texts = nodes.where("kind = 'text' AND text <> ''").select(key, "ref", "top_index", "text")
+    mine = at.join(texts.select(key, F.col("ref").alias("_at"), F.col("text").alias("_own")), [key, "_at"], "left")
+    within = F.coalesce(F.col("_offset") < u16_len(F.col("_own")), F.lit(False))
+    # a cursor that is not inside a text reads the first text behind its place: of texts and cursors in order, within
+    # ranges of top-level blocks, and between ranges by one row of each
+    span = F.col("top_index") if confined else F.floor(F.col("top_index") / 1_024)
+    none = lambda kind: F.lit(None).cast(kind)
+    hit = F.struct("ref", "text")
+    lines = texts.select(key, span.alias("_span"), F.col("ref").alias("_place"), F.lit(1).alias("_kind"), hit.alias("_hit"), none("array<int>").alias("_at"), none("int").alias("_offset"), none(cursors.schema["cursor_id"].dataType).alias("cursor_id"), none("string").alias("_own"))
+    asked = mine.select(key, span.alias("_span"), F.col("_at").alias("_place"), F.lit(2).alias("_kind"), none("struct<ref:array<int>,text:string>").alias("_hit"), "_at", "_offset", "cursor_id", F.when(within, F.col("_own")).alias("_own"))
+    both = lines.unionByName(asked)
+    order = Window.partitionBy(key, "_span").orderBy("_place", "_kind").rowsBetween(1, Window.unboundedFollowing)
+    told = both.withColumn("_next", F.first("_hit", ignorenulls=True).over(order)).where("_kind = 2")
+    if not confined:
+        firsts = both.groupBy(key, "_span").agg(F.min(F.when(F.col("_hit").isNotNull(), F.struct(F.col("_place").alias("ref"), F.col("_hit.text").alias("text")))).alias("_first"))
+        later = Window.partitionBy(key).orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
+        ahead = firsts.select(key, "_span", F.first("_first", ignorenulls=True).over(later).alias("_ahead"))
+        told = told.join(ahead, [key, "_span"]).withColumn("_next", F.coalesce("_next", "_ahead"))
+    here = F.when(F.col("_own").isNotNull(), F.struct(F.col("_at").alias("ref"), F.col("_own").alias("text"))).otherwise(F.col("_next"))
+    start = F.when(F.col("_own").isNotNull(), F.col("_offset")).otherwise(0)
+    read = told.withColumn("_hit", here).select(
+        key, "cursor_id", u16_slice(F.col("_hit.text"), start, start + 1).alias("char"), F.col("_hit.ref").alias("next_ref"), F.when(F.col("_hit").isNotNull(), start + 1).cast("int").alias("next_offset")
+    )
+    return cursors.select(key, "cursor_id").join(read, [key, "cursor_id"], "left").withColumn("next_offset", F.coalesce("next_offset", F.lit(0)))

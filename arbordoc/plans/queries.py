@@ -114,7 +114,7 @@ def document_fulltext(spark: SparkSession, folder: str) -> DataFrame:
 def part_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs continued over page ends as logical texts."""
     linked = cut(tables.with_parts(tables.nodes(spark, folder), tables.distinct_blocks(spark, folder)))
-    told = parts.logical_texts(linked, text.nested_texts(linked, KEY, top_level_only=True), KEY)
+    told = parts.logical_texts(linked, key=KEY)
     return told.select(KEY, F.get("root", F.lit(0)).alias("root"), F.size("refs").alias("parts"), "text")
 
 
