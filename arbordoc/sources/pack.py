@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 import logging
-import os
 import re
 import struct
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -183,12 +183,10 @@ class Pack:
 
     @classmethod
     def of_file(cls, path: str) -> Pack:
-        def read(offset: int, length: int) -> bytes:
-            with open(path, "rb") as file:
-                file.seek(offset)
-                return file.read(length)
-
-        return cls(os.path.getsize(path), read)
+        """A pack in any file system that Arrow knows by its URI, read in ranges."""
+        system, place = file_system(path)
+        file = system.open_input_file(place)
+        return cls(file.size(), lambda offset, length: file.read_at(length, offset))
 
     def _exactly(self, offset: int, length: int) -> bytes:
         data = self._source(offset, length)
@@ -305,22 +303,32 @@ def unpack_trees(packs: DataFrame, key: str = "doc_id", column: str = "pack") ->
 
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, pack): packs of any file system that Spark reads, one per file."""
-    files = spark.read.format("binaryFile").load(path)
+    """(doc_id, pack): packs of any file system that Spark reads, one per file, in folders of any depth."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "").alias("doc_id"), F.col("content").alias("pack"))
 
 
 # ---- data source
 
+#: Bytes of packs that one task reads, unless a pack is larger.
+PARTITION_BYTES = 64 << 20
+
+
+def file_system(path: str):
+    """(file system, path in it) of a URI (file, hdfs, s3, gs, ...) or of a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, section: str):
-        self.path, self.section = path, section
+    def __init__(self, path: str, section: str, partition_bytes: int):
+        self.path, self.section, self.partition_bytes = path, section, partition_bytes
         self.low, self.high, self.documents = 0, None, None
 
     def pushFilters(self, filters):
@@ -349,42 +357,99 @@ class _Reader(DataSourceReader):
         self.high = high if self.high is None else self.high if high is None else min(self.high, high)
 
     def partitions(self):
-        names = sorted(os.listdir(self.path)) if os.path.isdir(self.path) else [os.path.basename(self.path)]
-        folder = self.path if os.path.isdir(self.path) else os.path.dirname(self.path)
-        return [_File(os.path.join(folder, n)) for n in names if not n.startswith((".", "_")) and (self.documents is None or n.rpartition(".")[0] in self.documents)]
+        """Packs side by side, as many as PARTITION_BYTES hold."""
+        from pyarrow import fs
+
+        system, place = file_system(self.path)
+        found = system.get_file_info(place)
+        files = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive=True))
+        scheme = self.path.partition("://")[0] + "://" if "://" in self.path else ""
+        base = found.path if found.type != fs.FileType.File else ""
+        out: list[_Files] = []
+        size = self.partition_bytes
+        for f in sorted(files, key=lambda f: f.path):
+            inside = f.path[len(base) :].strip("/").split("/") if base else [f.base_name]
+            if f.type != fs.FileType.File or any(n.startswith((".", "_")) for n in inside) or self.documents is not None and f.base_name.rpartition(".")[0] not in self.documents:
+                continue
+            if size + f.size > self.partition_bytes:
+                out.append(_Files([]))
+                size = 0
+            size += f.size
+            # the authority of a URI stands before the path that the file system knows
+            out[-1].paths.append(self.path[: self.path.index(place)] + f.path if scheme and place in self.path else f.path)
+        return out
 
     def read(self, partition):
-        name = os.path.basename(partition.path).rpartition(".")[0]
-        opened = Pack.of_file(partition.path)
-        if self.section == "metadata":
-            yield name, opened.schema_version, json.dumps(opened.metadata(), ensure_ascii=False), opened.block_count()
-        elif self.section == "catalog":
-            yield name, json.dumps(opened.catalog(), ensure_ascii=False)
-        else:
-            last = opened.block_count() - 1 if self.high is None else self.high
-            for k, raw in opened.raw_blocks(self.low, last):
-                yield name, k, raw.decode("utf-8")
+        for path in partition.paths:
+            name = path.rpartition("/")[2].rpartition(".")[0]
+            opened = Pack.of_file(path)
+            if self.section == "metadata":
+                yield name, opened.schema_version, json.dumps(opened.metadata(), ensure_ascii=False), opened.block_count()
+            elif self.section == "catalog":
+                yield name, json.dumps(opened.catalog(), ensure_ascii=False)
+            else:
+                last = opened.block_count() - 1 if self.high is None else self.high
+                for k, raw in opened.raw_blocks(self.low, last):
+                    yield name, k, raw.decode("utf-8")
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Each task writes a folder of its own under ``_temporary``; the commit moves whole folders in place."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
+        system, place = file_system(self.path)
+        name = f"part-{uuid.uuid4().hex}"
+        aside = f"{place}/_temporary/{self.job}/{name}"
+        system.create_dir(aside, recursive=True)
         for row in rows:
-            aside = os.path.join(self.path, f".{row.doc_id}.{os.getpid()}")
-            with open(aside, "wb") as file:
+            with system.open_output_stream(f"{aside}/{row.doc_id}.pack") as file:
                 file.write(pack(json.loads(row.tree), destructive=True))
-            os.replace(aside, os.path.join(self.path, f"{row.doc_id}.pack"))
-        return WriterCommitMessage()
+        return _Written(name)
+
+    def _finish(self) -> None:
+        system, place = file_system(self.path)
+        system.delete_dir(f"{place}/_temporary/{self.job}")
+        from pyarrow import fs
+
+        if not system.get_file_info(fs.FileSelector(f"{place}/_temporary")):
+            system.delete_dir(f"{place}/_temporary")
+
+    def commit(self, messages):
+        from pyarrow import fs
+
+        system, place = file_system(self.path)
+        system.create_dir(f"{place}/_temporary/{self.job}", recursive=True)
+        old = system.get_file_info(fs.FileSelector(place)) if self.overwrite else []
+        for m in messages:
+            if m is not None:
+                system.move(f"{place}/_temporary/{self.job}/{m.name}", f"{place}/{m.name}")
+        for f in old:
+            if not f.base_name.startswith(("_", ".")):
+                system.delete_dir(f.path) if f.type == fs.FileType.Directory else system.delete_file(f.path)
+        self._finish()
+
+    def abort(self, messages):
+        try:
+            self._finish()
+        except OSError:
+            pass  # nothing had been written
 
 
 class PackDataSource(DataSource):
-    """``spark.read.format('treepack')`` over a folder of packs that all executors reach by path.
+    """``spark.read.format('treepack')`` over a folder of packs, of any depth, on any file system that Arrow knows by URI.
 
-    Option ``section``: 'blocks' (doc_id, block_index, block), 'metadata' or 'catalog'.  Writing takes
-    (doc_id, tree) and puts one file per document; a file appears whole or not at all.
+    Option ``section``: 'blocks' (doc_id, block_index, block), 'metadata' or 'catalog'; ``partition_bytes``:
+    how much a task reads.  Writing takes (doc_id, tree) and puts one file per document; the files of a
+    write appear when all its tasks are done, those of failed or repeated tasks never, and mode 'overwrite'
+    replaces what was there.
     """
 
     @classmethod
@@ -400,10 +465,10 @@ class PackDataSource(DataSource):
         }[section]
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self.options.get("section", "blocks"))
+        return _Reader(self.options["path"], self.options.get("section", "blocks"), int(self.options.get("partition_bytes", PARTITION_BYTES)))
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

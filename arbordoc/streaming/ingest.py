@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 
 def arriving_packs(spark: SparkSession, folder: str, files_per_batch: int = 1_000) -> DataFrame:
     """A stream of (doc_id, tree, error, arrived) of the packs that appear in a folder."""
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(folder)
     named = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "").alias("doc_id"), F.col("content").alias("pack"))
     return pack.unpack_trees(named)
 
@@ -47,7 +45,3 @@ def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "1
     """Counts per time window and key of a stream with late rows; rows later than ``late`` are dropped by the watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), *by).agg(F.count("*").alias("n"))
 
-
-def changed_only(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Hands every batch to ``apply`` once per batch number; for use with versioned state (:mod:`arbordoc.operators.incremental`)."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -93,6 +93,24 @@ def test_columns_and_source(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/documents")).count() == 2
 
 
+def test_writes_appear_whole(spark, tmp_path):
+    pk.register(spark)
+    folder = "file://" + str(tmp_path / "packs")
+    df = frame(spark, {f"d{k}": tree([paragraph(f"text {k}")]) for k in range(30)}).repartition(4)
+    write = lambda d, mode: d.write.format("treepack").mode(mode).option("path", folder).save()
+    write(df, "append")
+    read = lambda **o: spark.read.format("treepack").options(path=folder, **o).load()
+    assert read().count() == 30 and sorted(os.listdir(tmp_path / "packs"))[0].startswith("part-")
+    assert read().rdd.getNumPartitions() == 1 and read(partition_bytes="1").rdd.getNumPartitions() == 30
+    # a write in which one document cannot be packed leaves nothing behind
+    bad = df.unionByName(spark.createDataFrame([("bad", "{")], "doc_id string, tree string"))
+    with pytest.raises(Exception):
+        write(bad, "append")
+    assert read().count() == 30 and not [n for n in os.listdir(tmp_path / "packs") if not n.startswith("part-")]
+    write(df.limit(3), "overwrite")
+    assert read().count() == 3 and pk.read_packs(spark, folder).count() == 3
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j/one.json").write_text(json.dumps(TINY))
