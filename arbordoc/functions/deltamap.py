@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .let import let
 
@@ -71,6 +73,18 @@ def merge(first: str | None, second: str | None, first_length: int) -> str:
     return " ".join(f"{p} {d}" for p, d in out)
 
 
+@F.pandas_udf(T.StringType())
+def compose_col(outer: pd.Series, inner: pd.Series, length: pd.Series) -> pd.Series:
+    """:func:`compose` of columns."""
+    return pd.Series([compose(a, b, int(n)) for a, b, n in zip(outer, inner, length)])
+
+
+@F.pandas_udf(T.StringType())
+def merge_col(first: pd.Series, second: pd.Series, first_length: pd.Series) -> pd.Series:
+    """:func:`merge` of columns."""
+    return pd.Series([merge(a, b, int(n)) for a, b, n in zip(first, second, first_length)])
+
+
 def pairs_col(text: Column) -> Column:
     """ARRAY<STRUCT<pos, delta>> of a map; empty for NULL, '' and anything that is not pairs of numbers."""
     words = F.split(F.trim(text), "\\s+")

@@ -19,6 +19,16 @@ def range_of(start: Column, end: Column, start_offset: Column | None = None, end
     return F.struct(point(start, start_offset).alias("range_start"), point(end, end_offset).alias("range_end"))
 
 
+def with_start(bounds: Column, start: Column) -> Column:
+    """A range with another start."""
+    return bounds.withField("range_start", start)
+
+
+def with_end(bounds: Column, end: Column) -> Column:
+    """A range with another end."""
+    return bounds.withField("range_end", end)
+
+
 def is_boundary(b: Column) -> Column:
     """Whether a value is a boundary: not empty, no negative and no NULL index."""
     return F.coalesce((F.size(b) > 0) & F.forall(b, lambda x: x.isNotNull() & (x >= 0)), F.lit(False))

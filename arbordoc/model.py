@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The version of the tree's schema that is read in full.
+SCHEMA_VERSION = "1.2.0"
 REF = T.ArrayType(T.IntegerType())
 
 

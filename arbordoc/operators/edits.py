@@ -186,7 +186,9 @@ def edit_trees(trees: DataFrame, requests: DataFrame, change: Callable[[dict, di
                 ref = None if e["block_ref"] is None else [int(x) for x in e["block_ref"]]
                 done = None if ref is None else apply_to_text(tree, ref, e["offset_start"], e["offset_end"], lambda node, e=e: change(node, e))
                 refs.append(done)
-            rows.append((json.dumps(tree, ensure_ascii=False, separators=(",", ":")), refs))
+            told = json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
+            # a cut inside a surrogate pair leaves halves, which no table can hold: U+FFFD, of one unit too, stands for each
+            rows.append((told.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), refs))
         return pd.DataFrame(rows, columns=out_type.names)
 
     told = trees.select(key, column).join(edits, key, "left").withColumn("_out", run(column, "_edits"))

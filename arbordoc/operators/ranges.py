@@ -50,3 +50,12 @@ def split_points(points: DataFrame, nodes: DataFrame, key: str = "doc_id", colum
         .withColumn("point_offset", F.when(inside, F.element_at(F.col(column), -1)))
         .drop("_parent", "_in_text")
     )
+
+
+def nodes_at(nodes: DataFrame, requests: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The requests (key, ref, ...) with ``kind``, ``type``, ``text`` and ``child_count`` of the node that each ref names; all NULL where there is none.
+
+    NULL, empty and negative refs, and refs behind the last child, name no node.
+    """
+    told = nodes.select(key, "ref", "kind", "type", "text", "child_count")
+    return requests.join(told, [key, "ref"], "left").select(*requests.columns, "kind", "type", "text", "child_count")

@@ -65,6 +65,19 @@ _SKELETON = f"""
 ORACLE = {
     "section_chunks": "SELECT DISTINCT sdt_id, start_block_index, end_block_index, leaf_block_count, outline_path, text FROM chunks",
     "next_chunks": "SELECT sdt_id, min(start_block_index) AS start_block_index, arg_min(end_block_index, start_block_index) AS end_block_index, arg_min(text, start_block_index) AS text FROM chunks GROUP BY sdt_id",
+    "next_chunks_from": f"""
+        WITH b AS (SELECT DISTINCT sdt_id, block_index, text, flow_class, leaf_block_count FROM blocks), {_ENTRIES},
+        h AS (SELECT sdt_id, ref[1] AS block_index, arg_max(outline_path, ord) AS path FROM e WHERE ref[1] IS NOT NULL GROUP BY ALL),
+        x AS (SELECT b.*, h.path IS NOT NULL AS head, coalesce(max(CASE WHEN h.path IS NOT NULL THEN b.block_index END) OVER (PARTITION BY b.sdt_id ORDER BY b.block_index), -1) AS region
+              FROM b LEFT JOIN h ON h.sdt_id = b.sdt_id AND h.block_index = b.block_index),
+        r AS (SELECT sdt_id, block_index AS from_block_index FROM b WHERE block_index % 5 = 0),
+        y AS (SELECT r.from_block_index, x.* FROM r JOIN x ON x.sdt_id = r.sdt_id AND x.block_index >= from_block_index WHERE coalesce(flow_class, '') <> 'excluded'),
+        z AS (SELECT *, min(block_index) OVER w AS a, greatest(min(block_index) OVER w, coalesce(max(CASE WHEN coalesce(text, '') <> '' THEN block_index END) OVER w, -1)) AS z FROM y WINDOW w AS (PARTITION BY sdt_id, from_block_index, region)),
+        c AS (SELECT sdt_id, from_block_index, region, a AS start_block_index, z AS end_block_index, CAST(sum(CASE WHEN head THEN 0 ELSE leaf_block_count END) AS INT) AS leaf_block_count,
+                     coalesce(string_agg(CASE WHEN NOT head AND text <> '' THEN text END, chr(10) ORDER BY block_index), '') AS text FROM z WHERE block_index <= z GROUP BY ALL),
+        d AS (SELECT *, row_number() OVER (PARTITION BY sdt_id, from_block_index ORDER BY start_block_index) AS k FROM c WHERE {_units('text')} >= 30)
+        SELECT d.sdt_id, from_block_index, start_block_index, end_block_index, leaf_block_count, coalesce(h.path, '') AS outline_path, text FROM d LEFT JOIN h ON h.sdt_id = d.sdt_id AND h.block_index = d.region WHERE k = 1
+    """,
     "outline_paths": f"WITH {_ENTRIES} SELECT sdt_id, ord, parent_ord, depth, outline_path FROM e",
     "outline_export": f"WITH {_ENTRIES} SELECT sdt_id, ord, title, CASE WHEN len(ref) > 0 THEN array_to_string(ref, '.') END AS start_ref, entry_source FROM e WHERE title <> ''",
     "last_heading": f"""

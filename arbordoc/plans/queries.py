@@ -12,8 +12,7 @@ from ..operators import chunker, dom, fulltext, incremental, merge, parts, range
 from ..operators import outline as outlines
 from ..operators.carry import carry_forward
 from ..sources import pack, trees
-from . import tables
-from .oracle import ORACLE  # noqa: F401
+from . import derived, oracle, tables
 
 KEY = "sdt_id"
 
@@ -298,4 +297,6 @@ QUERIES = {
     "pack_roundtrip": pack_roundtrip,
     "p5_found": p5_found,
 }
+QUERIES |= derived.QUERIES
+ORACLE = {**oracle.ORACLE, **derived.ORACLE}
 FLAGSHIP = "section_chunks"
