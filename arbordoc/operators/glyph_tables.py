@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import glyphs
 from .text import text_positions
@@ -124,20 +126,23 @@ def encode_characters(characters: DataFrame, preformatted: bool = False, key: st
     out = T.StructType([characters.schema[key], characters.schema["page_index"], characters.schema["block_no"]])
     out = out.add("ordinal", T.IntegerType()).add("text", T.StringType()).add("style", T.StringType()).add("text_map", T.StringType())
 
-    def encode(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chars = []
-        for row in pdf.sort_values("char_no").to_dict("records"):
-            char = {}
-            for column, field in _FIELDS.items():
-                value = row[column]
-                if column == "rect":
-                    char[field] = None if value is None else [float(v) for v in value]
-                elif not (value is None or value != value):
-                    char[field] = int(value) if column == "axis_dir" else value
-            if char.get("c"):
-                chars.append(char)
-        nodes = glyphs.preformatted_nodes(chars) if preformatted else glyphs.text_nodes(int(keys[1]), chars)
-        rows = [(*keys, k, n["text"], json.dumps(n["style"]) if n.get("style") else None, (n.get("anchor") or {}).get("textMap")) for k, n in enumerate(nodes)]
-        return pd.DataFrame(rows, columns=out.names)
-
-    return characters.where("c IS NOT NULL").groupBy(key, "page_index", "block_no").applyInPandas(encode, out)
+    names = [n for n in _FIELDS if n in characters.columns]
+
+    def encode(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                chars = []
+                for row in r["chars"]:
+                    char = {_FIELDS[n]: row[n] for n in names if n == "rect" or row[n] is not None}
+                    if char.get("c"):
+                        chars.append(char)
+                nodes = glyphs.preformatted_nodes(chars) if preformatted else glyphs.text_nodes(r["page_index"], chars)
+                for k, n in enumerate(nodes):
+                    rows.append((r[key], r["page_index"], r["block_no"], k, n["text"], json.dumps(n["style"]) if n.get("style") else None, (n.get("anchor") or {}).get("textMap")))
+            columns = zip(*rows) if rows else [()] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], names=out.names)
+
+    arrow = to_arrow_schema(out)
+    gathered = characters.where("c IS NOT NULL").groupBy(key, "page_index", "block_no").agg(F.array_sort(F.collect_list(F.struct("char_no", *names))).alias("chars"))
+    return gathered.mapInArrow(encode, out)
