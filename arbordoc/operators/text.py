@@ -110,7 +110,7 @@ def characters(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     characters give one row at the offset of their first unit.
     """
     texts = nodes.where("kind = 'text' AND text <> ''").select(key, "ref", F.col("top_index").alias("block"), "text", _offsets(F.when(u16_len(F.col("text")) > F.length("text"), F.col("text"))).alias("at"))
-    chars = texts.select(key, "ref", "block", "at", F.posexplode(F.split("text", "(?s)(?!^)(?=.)")).alias("k", "char"))
+    chars = texts.select(key, "ref", "block", "at", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("k", "char"))
     return chars.select(key, "ref", F.coalesce(F.get("at", F.col("k")), F.col("k")).cast("int").alias("offset"), "char", "block")
 
 
