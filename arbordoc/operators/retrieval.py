@@ -44,12 +44,30 @@ def blocks_at_rects(nodes: DataFrame, pages: DataFrame, rects: DataFrame, key: s
     return kept.select(key, "request_id", F.col("ref").alias("range_start"), F.col("ref_end").alias("range_end")).distinct()
 
 
-def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(by, start, end): the union of each group's intervals; touching ones become one."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_island", island).groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str = "end", bucket: int = 1 << 16) -> DataFrame:
+    """(by, start, end): the union of each group's intervals; touching ones become one.  Rows with a NULL end or start have no interval.
+
+    Intervals are put in order within buckets of starts; between buckets one row of each is carried, so a
+    group that holds a third of all intervals is no task's burden.  ``bucket`` is their width.
+    """
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_bucket", F.floor(F.col(start) / bucket))
+    inside, across = Window.partitionBy(*by, "_bucket").orderBy(start, end), Window.partitionBy(*by).orderBy("_bucket")
+    before = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    # how far the intervals before reach; an interval beyond that opens an island
+    reach = rows.groupBy(*by, "_bucket").agg(F.max(end).alias("_end")).select(*by, "_bucket", F.max("_end").over(before(across)).alias("_reached"))
+    reached = F.greatest(F.max(end).over(before(inside)), F.col("_reached"))
+    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_bucket")]
+
+    def beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        on = keys[0]
+        for k in keys[1:]:
+            on = on & k
+        return left.alias("a").join(right.alias("b"), on).select("a.*", f"b.{name}")
+
+    told = beside(rows, reach, "_reached").withColumn("_opens", F.when(F.coalesce(F.col(start) > reached, reached.isNull()), F.col(start)))
+    opened = told.groupBy(*by, "_bucket").agg(F.max("_opens").alias("_last")).select(*by, "_bucket", F.last("_last", ignorenulls=True).over(before(across)).alias("_carried"))
+    local = told.withColumn("_local", F.last("_opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return beside(local, opened, "_carried").groupBy(*by, F.coalesce("_local", "_carried").alias("_island")).agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 _SENTENCE = T.ArrayType(T.StructType().add("sid", T.IntegerType()).add("text", T.StringType()))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from arbordoc.functions import css, deltamap, refs
-from arbordoc.operators import dom, outline, parts, ranges, text
+from arbordoc.operators import dom, outline, parts, ranges, retrieval, text
 from arbordoc.sources.trees import flatten
 from trees import frame, paragraph, tree
 
@@ -130,3 +130,21 @@ def test_map_and_selector_columns(spark):
         assert r.c == deltamap.compose(r.a, r.b, r.n) and r.m == deltamap.merge(r.a, r.b, r.n)
     told = spark.createDataFrame([("body > p:nth-child(3)",), ("#a + p",), ("nonsense >",), (None,)], "s string").select(css.parse_col("s").alias("p")).collect()
     assert told[0].p.anchor == "body" and told[0].p.segments[0].n == 3 and told[1].p.segments[0].previous_id == "a" and told[2].p.segments is None and told[3].p.segments is None
+
+
+def test_intervals_meet_over_buckets(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.choice([0, 1, 3, 40])) for s in (rng.randint(-50, 300) for _ in range(150))]
+    df = spark.createDataFrame([*rows, ("a", None, 3), ("a", 3, None)], "k string, start long, end long")
+    expected = set()
+    for k in ("a", "b", None):
+        merged = []
+        for s, e in sorted((s, e) for x, s, e in rows if x == k):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        expected |= {(k, s, e) for s, e in merged}
+    for width in (7, 100_000):
+        got = [tuple(r) for r in retrieval.merge_intervals(df, ["k"], bucket=width).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
