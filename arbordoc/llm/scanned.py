@@ -2,7 +2,8 @@
 
 Headers and footers are found by fuzzy repetition of the lines at page edges within a tree, page numbers
 by their sequence; words parted at line ends are joined by what the corpus's vocabulary says, and words
-with wrongly recognised characters are those that a known confusion turns into a far commoner word.
+with wrongly recognised characters are those that a confusion, one that the corpus shows again and again
+or one generally known, turns into a far commoner word.
 
 Pages are looked at in windows of ``WINDOW`` pages with ``HALO`` pages of context on both sides, so that
 no tree, however long, has to be held by one task.  The vocabulary is a table like any other: words reach
@@ -32,7 +33,9 @@ ALIKE = 0.8
 #: How much commoner the right word must be than the misread one.
 RATIO = 4
 
-# What is read, and what may have stood there.
+#: A substitution is learnt if so many doubtful words show it, and this share of them, which bounds how many there can be.
+LEARNT_WORDS, LEARNT_SHARE = 5, 1e-3
+# What is read, and what may have stood there, besides what a corpus shows itself.
 CONFUSIONS = [
     ("€", "e"), ("c", "e"), ("i", "r"), ("â", "a"), ("cl", "d"), ("!", "t"), ("l", "i"), ("ii", "n"), ("0", "o"), ("1", "l"),
     ("5", "s"), ("ii", "u"), ("(", "c"), ("rn", "m"), ("b", "h"), ("y", "v"), ("8", "b"), ("m", "in"), ("q", "g"), ("ſ", "f"),
@@ -401,11 +404,11 @@ def page_windows(pages: DataFrame) -> DataFrame:
 _CANDIDATE = T.ArrayType(T.StructType().add("word", T.StringType()).add("at", T.IntegerType()))
 
 
-def candidates(raw: str) -> list[tuple[str, int]]:
+def candidates(raw: str, confusions: list[tuple[str, str]] = CONFUSIONS) -> list[tuple[str, int]]:
     """(what may have stood there, where the first misread character is) of a word as it was read."""
     out: dict[str, int] = {}
     for form in dict.fromkeys((raw, base_form(raw))):
-        for read, right in CONFUSIONS:
+        for read, right in confusions:
             first = form.find(read)
             if first < 0:
                 continue
@@ -418,12 +421,38 @@ def candidates(raw: str) -> list[tuple[str, int]]:
     return [(w, at) for w, at in out.items() if len(w) > 1]
 
 
-@F.pandas_udf(_CANDIDATE)
-def _candidates_udf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda r: [{"word": w, "at": at} for w, at in candidates(r)] if any(c.isalpha() for c in r) and len(r) > 1 else [])
+def _candidates_of(confusions: list[tuple[str, str]]):
+    @F.pandas_udf(_CANDIDATE)
+    def told(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda r: [{"word": w, "at": at} for w, at in candidates(r, confusions)] if any(c.isalpha() for c in r) and len(r) > 1 else [])
 
+    return told.asNondeterministic()  # else a filter inferred for the explode has it run twice
 
-_candidates_udf = _candidates_udf.asNondeterministic()  # else a filter inferred for the explode has it run twice
+
+def _frames(word):
+    """ARRAY<STRUCT<frame, part>>: a word with one or two characters taken out, at every place: what is left, and what was taken."""
+    at = lambda k: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(word) - k + 1, F.lit(1))),
+        lambda i: F.struct(F.xxhash64(F.substring(word, F.lit(1), i - 1), F.substring(word, i + k, F.length(word))).alias("frame"), F.substring(word, i, F.lit(k)).alias("part")),
+    )
+    return F.concat(at(1), at(2))
+
+
+def learnt_confusions(doubtful: DataFrame, stats: DataFrame) -> list[tuple[str, str]]:
+    """(what is read, what stood there): the substitutions that turn doubtful words (raw, own) into words RATIO times as common.
+
+    Words are aligned by what is left when one or two characters are taken out; a substitution counts for
+    each doubtful word that shows it, and is learnt from LEARNT_WORDS and LEARNT_SHARE of them on.
+    """
+    forms = doubtful.select("raw", "own", F.explode(F.array_distinct(F.array("raw", _base(F.col("raw"))))).alias("form")).where(F.length("form") >= 4)
+    read = forms.select("raw", "own", F.explode(_frames(F.col("form"))).alias("f")).select("raw", "own", "f.frame", F.col("f.part").alias("read"))
+    common = stats.where((F.col("total") >= RATIO) & (F.length("word") >= 4)).select("total", F.explode(_frames(F.col("word"))).alias("f")).select("total", "f.frame", F.col("f.part").alias("right"))
+    ends = lambda c: (F.substring(c, 1, 1), F.substring(c, -1, 1))
+    apart = (ends("read")[0] != ends("right")[0]) & (ends("read")[1] != ends("right")[1])
+    shown = read.join(common, "frame").where(apart & (F.col("total") >= RATIO * F.greatest("own", F.lit(1))))
+    counted = shown.groupBy("read", "right").agg(F.countDistinct("raw").alias("n"))
+    least = max(LEARNT_WORDS, LEARNT_SHARE * doubtful.count())
+    return sorted((r["read"], r["right"]) for r in counted.where(F.col("n") >= least).collect())
 
 
 def _base(raw):
@@ -446,13 +475,14 @@ def misread_words(suspects: DataFrame, stats: DataFrame) -> DataFrame:
     """(raw, at, fix): the words of ``suspects`` (raw) in which a character was recognised wrongly, and the likely word or NULL.
 
     ``stats`` has (word, clean, total).  A word that stands in text that was never scanned is right.  Any
-    other is misread if a confusion turns it into a word at least RATIO times as common, or if it has a
-    character inside that words do not have.
+    other is misread if a confusion, known or learnt from these very words, turns it into a word at least
+    RATIO times as common, or if it has a character inside that words do not have.
     """
     distinct = suspects.select("raw").distinct()
     own = distinct.withColumn("word", _base(F.col("raw"))).join(stats, "word", "left")
-    doubtful = own.where("coalesce(clean, 0) = 0").select("raw", F.coalesce("total", F.lit(0)).alias("own"))
-    tried = doubtful.withColumn("c", F.explode(_candidates_udf("raw"))).select("raw", "own", F.col("c.word").alias("word"), F.col("c.at").alias("at"))
+    doubtful = cut(own.where("coalesce(clean, 0) = 0").select("raw", F.coalesce("total", F.lit(0)).alias("own")))
+    told = list(dict.fromkeys([*CONFUSIONS, *learnt_confusions(doubtful, stats)]))
+    tried = doubtful.withColumn("c", F.explode(_candidates_of(told)("raw"))).select("raw", "own", F.col("c.word").alias("word"), F.col("c.at").alias("at"))
     best = tried.join(stats, "word").groupBy("raw").agg(F.first("own").alias("own"), F.max_by(F.struct("at", "total", "clean", "word"), F.struct("total", "word")).alias("best"))
     by_word = best.where((F.col("best.total") >= RATIO * F.greatest("own", F.lit(1))) | (F.col("best.clean") > 0) & (F.col("best.total") >= 2 * F.col("own"))).select(
         "raw", F.col("best.at").alias("at"), F.col("best.word").alias("fix")

@@ -140,3 +140,18 @@ def test_alike_keys_are_found_without_comparing_all(spark):
         for k in on_page:
             assert told.before(k, p) == any(sc._alike(k, x) for q in range(p) for x in keys[q])
             assert told.later(k, p) == any(sc._alike(k, x) for q in range(p + 1, 40) for x in keys[q])
+
+
+def test_confusions_are_learnt(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdfghjklmnoprstuwxz") for _ in range(9)) for _ in range(200)]
+    stats = [(w, 50, 50) for w in words]
+    # a scanner that takes k for an x with a stroke, and zz for a w
+    read = {w.replace("k", "\u04fe", 1): w for w in words if "k" in w} | {w.replace("w", "zz", 1): w for w in words if "w" in w}
+    raws = [r for r in read if r not in words]
+    stats += [(r, 0, 1) for r in raws]
+    table = spark.createDataFrame(stats, "word string, clean long, total long")
+    learnt = sc.learnt_confusions(spark.createDataFrame([(r, 1) for r in raws], "raw string, own long"), table)
+    assert learnt == [("zz", "w"), ("\u04fe", "k")]
+    assert {r.raw: r.fix for r in sc.misread_words(spark.createDataFrame([(r,) for r in raws + words], "raw string"), table).collect()} == {r: read[r] for r in raws}
+    assert sc.learnt_confusions(spark.createDataFrame([], "raw string, own long"), table) == []
