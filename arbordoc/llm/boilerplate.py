@@ -1,11 +1,11 @@
 """Problem 3: the main body of web pages, without what surrounds it.
 
 A page's blocks are written out as markup and read by the standard library's streaming HTML parser, whose
-events give every line's text-to-tag ratio.  Text that recurs over the corpus as page furniture does not
-count as text there.  The ratios are smoothed along the page by a Gaussian and split in two clusters;
-lines of the upper one are content regions and main body unless their words say furniture.  A line outside
-the regions is main body only by the evidence of its own words, or, where these are unseen, if it is a part
-of an article (heading, caption, note, formula, ...) beside main body.
+events give every line's text-to-tag ratio.  The ratio is weighted by what the words say: text that recurs
+over the corpus as page furniture does not count, text whose words speak for articles counts more.  The
+weighted ratios are smoothed along the page by a Gaussian and split in two clusters; the lines of the upper
+one are the content regions, and these are the main body.  Only their edges are mended: a part of an article
+(heading, caption, note, formula, ...) beside main body belongs to it even if it is too short for a region.
 
 What recurs as furniture is learnt from the blocks' own flow class, noisy as it is: stretches and labels
 counted over all trees, and a word model fitted on a bounded sample.
@@ -43,7 +43,11 @@ FURNITURE_RATE = 0.2
 #: The share of a label's places with links behind it above which links follow it.
 HEAD_RATE = 0.4
 #: Standard deviation of the smoothing, in lines.
-SIGMA = 1.0
+SIGMA = 0.6
+#: How much more text counts whose words speak for the main body.
+VOUCHED = 20.0
+#: How much more a line of furniture counts among its neighbours than other lines.
+SURE = 30.0
 
 _SEPARATOR = re.compile(r"\s+[•|»›·>/]\s+|\s{2,}|\n")
 _SEPARATED = re.compile(r"[•|»›·>/\n]|\s\s")
@@ -306,12 +310,13 @@ def _one_each(index, *columns):
 # ---- one page
 
 
-def _smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    radius = int(3 * sigma)
+def _smooth(values: np.ndarray, weights: np.ndarray | None = None, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian means along a page, each value with its weight."""
+    radius = math.ceil(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    padded = np.concatenate((np.repeat(values[:1], radius), values, np.repeat(values[-1:], radius)))
-    weights = np.convolve(np.ones(len(padded)), kernel, "valid")
-    return np.convolve(padded, kernel, "valid") / weights
+    weights = np.ones(len(values)) if weights is None else weights
+    padded = [np.concatenate((np.repeat(x[:1], radius), x, np.repeat(x[-1:], radius))) for x in (values * weights, weights)]
+    return np.convolve(padded[0], kernel, "valid") / np.convolve(padded[1], kernel, "valid")
 
 
 def _levels(values: np.ndarray) -> np.ndarray:
@@ -320,7 +325,11 @@ def _levels(values: np.ndarray) -> np.ndarray:
 
 
 def _border(levels: np.ndarray, counts: np.ndarray) -> float:
-    """The border of two clusters of levels on a line (2-means from the extremes), in units of the ratio."""
+    """The border of two clusters of levels on a line (2-means from the extremes), in units of the ratio.
+
+    One line without text, as there is none beyond a page's ends, is always among them.
+    """
+    levels, counts = np.append(levels, 0), np.append(counts, 1)
     low, high = float(levels.min()), float(levels.max())
     for _ in range(50):
         lower = levels <= (low + high) / 2
@@ -339,7 +348,12 @@ def _threshold(values: np.ndarray) -> float:
 
 
 class _Page:
-    """A page's blocks (type, text) in order, each with its own evidence and its smoothed ratio."""
+    """A page's blocks (type, text) in order, with their weighted text-to-tag ratios, raw and smoothed.
+
+    The model enters as a weight of a block's text: 0 for what it takes for furniture, VOUCHED for words
+    that speak for the main body, 1 for what it does not know.  Where ratios are smoothed, what it takes for
+    furniture counts SURE times as much as other lines, so that text around it does not lift it.
+    """
 
     def __init__(self, blocks: list[tuple[str | None, str | None]], model: Model):
         n = len(blocks)
@@ -349,6 +363,7 @@ class _Page:
         self.blank = np.zeros(n, dtype=bool)
         self.ratio = np.zeros(n)
         self.texts = [skeleton(t) if t else "" for _, t in blocks]
+        plain, none = np.zeros(n), np.zeros(n, dtype=bool)
         for i, ((kind, _), text) in enumerate(zip(blocks, self.texts)):
             if not text.strip():
                 self.blank[i] = True
@@ -359,8 +374,21 @@ class _Page:
             sure = 0.5 if share == 0 and kind in ("heading", "caption", "note") else 0.0
             crumbs = share > 0 and links >= 2 and kind != "list"
             self.own[i] = share >= 0.5 or odds > sure or crumbs or text.startswith("©") and share + odds > -1
-            self.ratio[i] = math.log1p(chars * (1 - share) / max(tags, 1))
-        self.smooth = _smooth(self.ratio) if n else self.ratio
+            plain[i] = chars * (1 - share) / max(tags, 1)
+        weight = np.ones(n)
+        for i, (kind, _) in enumerate(blocks):
+            if self.blank[i]:
+                continue
+            if self.own[i]:
+                weight[i], none[i] = 0, True
+            elif self.titles[i]:
+                # links in a paragraph are a menu; a list of them is one if numbered, or under a furniture label
+                article = kind == "list" and not _NUMBERED.match(self.texts[i]) and not self.under_furniture(i)
+                weight[i], none[i] = VOUCHED if article else 0, not article
+            elif model.vouches(self.texts[i]):
+                weight[i] = VOUCHED
+        self.ratio = np.log1p(plain * weight)
+        self.smooth = _smooth(self.ratio, np.where(none, SURE, np.where(self.blank, 0.5, 1.0))) if n else self.ratio
 
     def border(self) -> float:
         return _threshold(self.smooth)
@@ -376,30 +404,22 @@ class _Page:
         return False
 
     def judge(self, border: float) -> tuple[np.ndarray, np.ndarray]:
-        """(main body, content) of each block, if the page has any content at all."""
-        n, own, titles, blank = len(self.blocks), self.own, self.titles, self.blank
-        region = (self.smooth > border) | (self.ratio > border)
-        body = np.zeros(n, dtype=bool)
-        for i, (kind, _) in enumerate(self.blocks):
-            if blank[i] or own[i]:
-                continue
-            if titles[i]:
-                # links in a paragraph are a menu; a list of them is one if numbered, or under a furniture label
-                body[i] = kind == "list" and not _NUMBERED.match(self.texts[i]) and not self.under_furniture(i)
-            else:
-                body[i] = region[i] or self.model.vouches(self.texts[i])
-        # outside the regions, what the words cannot tell follows its neighbours: a heading the text under it, parts
-        # of an article the text on either side; any other line is none of the main body
+        """(main body, content) of each block, if the page has any content at all: the regions, mended at their edges."""
+        n, blank = len(self.blocks), self.blank
+        region = ((self.smooth > border) | (self.ratio > border)) & ~blank
+        body = region.copy()
+        # a part of an article that no word tells of follows its neighbours: a heading the text under it, a caption,
+        # note or the like the text on either side
         told = np.flatnonzero(~blank)
         for at in range(len(told) - 1, -1, -1):
             i = told[at]
             kind = self.blocks[i][0]
-            if own[i] or titles[i] or body[i] or kind not in _PARTS:
+            if body[i] or self.own[i] or self.titles[i] or kind not in _PARTS:
                 continue
             after = at + 1 < len(told) and body[told[at + 1]]
             body[i] = after or kind != "heading" and at > 0 and body[told[at - 1]]
         # blank blocks are main body if the text before or behind them is
-        before, sides = False, np.zeros(n, dtype=bool)
+        sides = np.zeros(n, dtype=bool)
         for order in (range(n), range(n - 1, -1, -1)):
             before = False
             for i in order:
@@ -407,7 +427,7 @@ class _Page:
                     sides[i] |= before
                 else:
                     before = bool(body[i])
-        return body | sides, region & body & ~titles
+        return body | sides, region & ~self.titles
 
 
 def classify_page(blocks: list[tuple[str | None, str | None]], model: Model) -> list[bool]:
