@@ -4,8 +4,8 @@ import unicodedata
 
 from arbordoc.functions import deltamap
 from arbordoc.functions.utf16 import py_len, py_slice
-from arbordoc.llm.lookalike import lookalike_pairs, unify_texts
-from arbordoc.llm.skeleton import skeleton, unify
+from arbordoc.llm.lookalike import lookalike_classes, lookalike_pairs, lookalike_spellings, unify_texts
+from arbordoc.llm.skeleton import lookalikes, skeleton, unify
 
 SAME = [
     ("Compass", "Ｃｏｍｐａｓｓ"), ("Compass", "Com​pa­ss"), ("a b", "a b"), ("a b", "a b"), ("a b", "a　b"), ("é", "é"),
@@ -79,3 +79,34 @@ def test_unified_column(spark):
     out = {r.node_id: (r.unified_text, r.unified_delta_map) for r in unify_texts(nodes(spark, rows)).collect()}
     assert out[2] == ("plain", "0 -4") and out[3] == (None, None) and out[4] == ("", None) and out[5] == ("x", "0 -2") and out[6] == ("full", None)
     assert out[1][0] == "Compass" and [deltamap.to_source(out[1][1], p) for p in range(7)] == [0, 1, 2, 6, 7, 8, 9]
+
+
+def test_the_public_table():
+    table = lookalikes()
+    assert len(table) > 2000 and all(k > "\x7f" and k != v for k, v in table.items())
+    for a, b in [("s", "\uabaa"), ("O", "\u2c9e"), ("/", "\u2044"), ("/", "\u2215"), (":", "\u0589"), ("I", "\u0406"), ("l", "\u04cf"), ("c", "\u03f2"), ("S", "\u13da")]:
+        assert skeleton(a) == skeleton(b), (a, b)
+    # what a reader can tell apart: ASCII among itself, marks, digits, signs of currency, syllables
+    for a, b in [("1", "l"), ("0", "O"), ("rn", "m"), ("\u0660", "."), ("e", "\u00e8"), ("\u30ed", "\u53e3"), ("ae", "\u00e6"), ("\u20ac", "\u0454")]:
+        assert skeleton(a) != skeleton(b), (a, b)
+
+
+def test_classes_and_spellings_say_what_pairs_say(spark):
+    rng = random.Random(4)
+    texts = [t for p in SAME + DIFFERENT for t in p] + ["", "same"]
+    rows = [(i, rng.choice([1, 1, 2, 3]), rng.choice(texts), None) for i in range(250)]
+    df = nodes(spark, rows + rows[:20] + [(900, 1, None, None), (None, 1, "Compass", None)])
+    pairs = {(r.node_a, r.node_b) for r in lookalike_pairs(df).collect()}
+    told = lookalike_classes(df).collect()
+    links = {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    assert {r.node: r.links for r in told} == links and len(told) == len(links)
+    expanded = set()
+    for r in lookalike_spellings(df).collect():
+        left = [x.node for x in told if (x.scope, x["class"], x.spelling) == (r.scope, r["class"], r.spelling_a)]
+        right = [x.node for x in told if (x.scope, x["class"], x.spelling) == (r.scope, r["class"], r.spelling_b)]
+        assert (min(left), len(left), min(right), len(right)) == (r.node_a, r.nodes_a, r.node_b, r.nodes_b)
+        expanded |= {(min(a, b), max(a, b)) for a in left for b in right}
+    assert expanded == pairs
+    assert lookalike_classes(df.where("false")).count() == 0 and lookalike_spellings(df.where("false")).count() == 0
