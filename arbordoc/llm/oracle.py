@@ -99,4 +99,7 @@ def _queries() -> dict[str, str]:
     }
 
 
-ORACLE = _queries()
+try:
+    ORACLE = _queries()
+except FileNotFoundError:  # no look-alike table on this machine
+    ORACLE = {}
