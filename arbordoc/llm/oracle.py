@@ -82,6 +82,14 @@ def _queries() -> dict[str, str]:
             WITH {looks} SELECT DISTINCT a.node_id AS node_id_a, b.node_id AS node_id_b FROM n a JOIN n b ON b.sdt_id = a.sdt_id AND b.look = a.look
             WHERE a.node_id < b.node_id AND a.form <> b.form
         """,
+        "p2_forms": f"WITH {looks} SELECT DISTINCT node_id, sdt_id, look AS unified_text FROM n",
+        "p3_blocks": """
+            SELECT sdt_id, count(DISTINCT block_index) AS blocks, count(DISTINCT block_index) AS distinct_blocks FROM blocks WHERE processor_type = 'snapshot' GROUP BY sdt_id
+        """,
+        "p4_lines": """
+            WITH l AS (SELECT DISTINCT sdt_id, page_index, string_split(text, chr(10)) AS x FROM page_info WHERE text_source = 'ocr' AND text IS NOT NULL)
+            SELECT sdt_id, page_index, len(x)::BIGINT AS lines, CAST(len(x) - 1 AS INT) AS last_line, len(list_filter(x, lambda y: NOT regexp_matches(y, '[^\\s\\x{a0}\\x{3000}\\x{2000}-\\x{200a}\\x0b]')))::BIGINT AS blank_lines FROM l
+        """,
         "p2_classes": f"""
             WITH {looks}, c AS (SELECT sdt_id, look, count(*) AS whole FROM n GROUP BY ALL), f AS (SELECT sdt_id, look, form, count(*) AS same FROM n GROUP BY ALL)
             SELECT n.sdt_id, n.node_id, whole - same AS links FROM n JOIN c USING (sdt_id, look) JOIN f USING (sdt_id, look, form) WHERE whole > same

@@ -13,7 +13,7 @@ from .mixing import mixture, share_report
 from .oracle import ORACLE  # noqa: F401
 from .packing import fill_report, pack
 from .repetition import repetition, repetitive_documents
-from .scanned import paragraphs, scan_findings
+from .scanned import page_windows, paragraphs, scan_findings
 from .split import split_chunks, split_oversized
 
 
@@ -40,6 +40,11 @@ def p2_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unify_texts(nodes).select("node_id", "sdt_id", "unified_text", "unified_delta_map")
 
 
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """All text nodes in their one form."""
+    return p2_unified(spark, folder).where("unified_text IS NOT NULL").select("node_id", "sdt_id", "unified_text").distinct()
+
+
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     """The nodes that have look-alikes in their tree, with how many."""
     told = lookalike_classes(table(spark, folder, "text_nodes"))
@@ -58,6 +63,18 @@ def p3_main_body(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("sdt_id", "block_index", "block_type", "text").distinct().join(keep, ["sdt_id", "block_index"])
 
 
+def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """How many blocks of every web page are judged."""
+    return main_body(table(spark, folder, "blocks")).groupBy("sdt_id").agg(F.count("*").alias("blocks"), F.countDistinct("block_index").alias("distinct_blocks"))
+
+
+def p4_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines of every scanned page are classified, and how many of them are blank."""
+    scanned = table(spark, folder, "page_info").where("text_source = 'ocr'").select("sdt_id", "page_index", "text")
+    lines = page_windows(scanned).select("sdt_id", F.explode(F.arrays_zip("page", "line", "kind")).alias("l")).select("sdt_id", "l.*")
+    return lines.groupBy("sdt_id", F.col("page").alias("page_index")).agg(F.count("*").alias("lines"), F.max("line").alias("last_line"), F.count_if(F.col("kind") == "blank").alias("blank_lines"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of scanned pages that are furniture, end in a parted word, or have a misread word."""
     return scan_findings(table(spark, folder, "page_info"))
@@ -143,9 +160,12 @@ QUERIES = {
     "p2_found": p2_found,
     "p1_cover": p1_cover,
     "p2_unified": p2_unified,
+    "p2_forms": p2_forms,
     "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p3_main_body": p3_main_body,
+    "p3_blocks": p3_blocks,
+    "p4_lines": p4_lines,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
     "p6_containers": p6_containers,
