@@ -247,7 +247,7 @@ def _instant(micros: int) -> Column:
 
 def replay(
     feed: DataFrame, plan: Feed, runs: DataFrame, folder: str, number: str = "run_id", started: str = "started_at",
-    succeeded: str = "status = 'succeeded'", batch: int = 40,
+    succeeded: str = "status = 'succeeded'", batch: int = 128,
 ) -> DataFrame:
     """The changes of every run that succeeded, by advancing a state from nothing in ``folder``, ``batch`` runs at a time.
 
