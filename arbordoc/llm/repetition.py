@@ -9,7 +9,8 @@ digit is repeated if it stands in
 * a sentence, or a paragraph (line), that occurred earlier as a whole, however short.
 
 Measuring that is the costly part.  A far cheaper score, in the JVM, decides which documents are rejected
-at all: the share of a text's words (character triples in scripts without blanks) that stood in it before.
+at all: the share of a text's pairs of words (character triples in scripts without blanks), or of its
+sentences, that stood in it before.
 Its cutoffs come from labelled holdouts: of all cutoffs on a grid, the least whose false-rejection rate
 (good documents at or above the cutoff) is below a limit by an exact binomial bound, at a confidence
 corrected for all cutoffs and strata that were tried.  An exact check of the rejected documents follows.
@@ -151,23 +152,27 @@ def binomial_upper_bound(bad: int, n: int, delta: float) -> float:
 
 
 def seen_before(text: Column) -> Column:
-    """The share of a text's words, by length, that stood in it before; character triples stand for words in scripts without blanks.
+    """How much of a text stood in it before, by pairs of words (character triples in scripts without blanks) or by whole sentences, whichever is more.
 
-    A repeated phrase has no new word, so this is the repeated share or more, but for the edges of triples
-    in scripts without blanks.  Computed in the JVM; 0 for NULL, empty and letterless texts.
+    A repeated phrase has no new pair but at its edges, and a repeated sentence or line is no new sentence, so
+    a text that repeats much scores high; pairs of words seldom recur by chance.  Computed in the JVM; 0
+    for NULL, empty and letterless texts.
     """
     low, dense = F.lower(text), f"[{_UNSPACED_RANGES}]"
     words = lambda t: F.split(t, "[^\\p{L}\\p{N}]+")
 
     def share(units: Column) -> Column:
-        whole = F.length(F.array_join(units, ""))
-        return F.when(whole > 0, 1 - F.length(F.array_join(F.array_distinct(units), "")) / whole)
+        return F.when(F.size(units) > 0, 1 - F.size(F.array_distinct(units)) / F.size(units))
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
     triples = F.regexp_extract_all(low, F.lit(f"(?=({dense}{{3}}))"), F.lit(1))
-    short = F.regexp_extract_all(low, F.lit(f"(?<!{dense})({dense}{{1,2}})(?!{dense})"), F.lit(1))
-    mixed = F.concat(triples, short, words(F.regexp_replace(low, dense, " ")))
-    score = F.when(low.rlike(dense), let(mixed, share)).otherwise(let(words(low), share))
-    return F.coalesce(score, F.lit(0.0)).alias("seen_before")
+    mixed = let(words(F.regexp_replace(low, dense, " ")), lambda w: F.concat(F.transform(triples, lambda t: F.xxhash64(t)), pairs(w)))
+    some = (F.octet_length(text) > F.length(text)) & low.rlike(dense)
+    phrases = F.when(some, let(mixed, share)).otherwise(let(let(words(low), pairs), share))
+    sentences = F.split(low, "[.!?…。！？｡\\n]+\\s*")
+    return F.coalesce(F.greatest(phrases, let(sentences, share)), F.lit(0.0)).alias("seen_before")
 
 
 def size_stratum(text: Column) -> Column:
