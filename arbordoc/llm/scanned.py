@@ -243,10 +243,11 @@ def classify_pages(pages: list[tuple[int, str]], recurring=(), in_order=()) -> l
                     kind[i] = "furniture"
                 elif upper and opens:
                     kind[i] = "title"
-                elif not sentence and (later or not upper and len(line) < 0.8 * longest and line[:1].isupper()):
-                    kind[i] = "furniture"
-                elif not sentence and upper and len(line) < 0.8 * longest:
+                elif not sentence and later:
                     kind[i] = "furniture"
+                elif not sentence and (upper or line[:1].isupper()) and len(line) < 0.8 * longest:
+                    # a short line that nothing repeats: a title if it stands over text that it opens
+                    kind[i] = "title" if opens else "furniture"
                 if kind[i] not in ("furniture", "title"):
                     break
             elif kind[full[0]] == "furniture":

@@ -99,6 +99,15 @@ def test_titles_and_headers():
     assert kinds[2][3] == "text"
 
 
+def test_headings_that_nothing_repeats():
+    body = ["every bridge covered another quarry through the garden and the", "window. Another furnace repaired the village."]
+    opening = "Another " + body[0]
+    pages = [(0, "\n".join(["THE QUARRY", "", *body])), (1, "\n".join(["Bridge and lantern", "", opening, body[1]])), (2, "\n".join(["Notes on mountain", *body])), (3, "\n".join([opening, body[1]]))]
+    kinds = sc.classify_pages(pages)
+    # over text that it opens it is a title; in the midst of a sentence a header
+    assert kinds[1][0] == "title" and kinds[2][0] == "furniture" and kinds[3][0] == "text"
+
+
 def test_candidates():
     got = {w for w, _ in sc.candidates("testirnony")}
     assert "testimony" in got and "almost" in {w for w, _ in sc.candidates("almos!")} and "village" in {w for w, _ in sc.candidates("vi11age")}
