@@ -241,13 +241,11 @@ def classify_pages(pages: list[tuple[int, str]], recurring=(), in_order=()) -> l
                     break
                 elif before and not (sentence and not _repeats(key, p, edges, recurring)):
                     kind[i] = "furniture"
-                elif upper and opens:
+                elif opens and (upper or not before and not sentence and line[:1].isupper() and len(line) < 0.8 * longest):
+                    # a line over text that it opens, and that did not stand there before: a title, also if it runs on as a header
                     kind[i] = "title"
-                elif not sentence and later:
+                elif not sentence and (later or (upper or line[:1].isupper()) and len(line) < 0.8 * longest):
                     kind[i] = "furniture"
-                elif not sentence and (upper or line[:1].isupper()) and len(line) < 0.8 * longest:
-                    # a short line that nothing repeats: a title if it stands over text that it opens
-                    kind[i] = "title" if opens else "furniture"
                 if kind[i] not in ("furniture", "title"):
                     break
             elif kind[full[0]] == "furniture":

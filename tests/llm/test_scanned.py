@@ -104,7 +104,9 @@ def test_headings_that_nothing_repeats():
     opening = "Another " + body[0]
     pages = [(0, "\n".join(["THE QUARRY", "", *body])), (1, "\n".join(["Bridge and lantern", "", opening, body[1]])), (2, "\n".join(["Notes on mountain", *body])), (3, "\n".join([opening, body[1]]))]
     kinds = sc.classify_pages(pages)
-    # over text that it opens it is a title; in the midst of a sentence a header
+    # over text that it opens it is a title, also if it then runs on as a header; in the midst of a sentence a header
+    pages[2:2] = [(7, "\n".join(["Bridge and lantern", *body])), (8, "\n".join(["Bridge and lantern", "", opening, body[1]]))]
+    assert [k[0] for k in sc.classify_pages(pages)][1:4] == ["title", "furniture", "furniture"]
     assert kinds[1][0] == "title" and kinds[2][0] == "furniture" and kinds[3][0] == "text"
 
 
